@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,7 +52,7 @@ def quarter_index(year: Column, quarter: Column) -> Column:
 
 def ordinal_day(c: Column) -> Column:
     """Day number with 0001-01-01 as 1, as a long."""
-    return (F.datediff(c, F.lit(datetime.date(1, 1, 1))) + 1).cast("long")
+    return (F.datediff(c, F.lit("0001-01-01").cast("date")) + 1).cast("long")
 
 
 def drop_zone(c: Column) -> Column:

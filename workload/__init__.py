@@ -3,4 +3,6 @@
 MODULES = (
     "schema_queries",
     "scalar_queries",
+    "filter_queries",
+    "join_queries",
 )
