@@ -60,7 +60,7 @@ def clean_company_name(
     ``ABCMPANY``); ``word_bounded`` removes whole words only.
     """
     forms = "|".join(COMPANY_FORMS)
-    end = r"\b" if word_bounded else ""
+    end = r"(?![\p{L}\p{N}_])" if word_bounded else ""
     name = F.regexp_replace(F.upper(c), place_pattern(places), "")
     name = F.regexp_replace(name, f"&NDASH| (?:{forms}){end}", "")
     return F.regexp_replace(F.regexp_replace(name, r"\p{Punct}+$", ""), r"^\s+|\s+$", "")

@@ -5,4 +5,7 @@ MODULES = (
     "scalar_queries",
     "filter_queries",
     "join_queries",
+    "aggregate_queries",
+    "order_queries",
+    "linkage_queries",
 )

@@ -48,7 +48,7 @@ def status_tails(t):
       SELECT page_id, raw, regexp_replace(upper(raw), '[-;] (?:{PLACES})', '', 'g') AS u FROM raw)
     SELECT page_id,
       regexp_replace(regexp_replace(regexp_replace(u, '&NDASH| (?:LLC|CO|INC)', '', 'g'), '[[:punct:]]+$', ''), '^\s+|\s+$', '', 'g') AS name,
-      regexp_replace(regexp_replace(regexp_replace(u, '&NDASH| (?:LLC|CO|INC)\b', '', 'g'), '[[:punct:]]+$', ''), '^\s+|\s+$', '', 'g') AS name_bounded
+      regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(u, '&NDASH', '', 'g'), ' (?:LLC|CO|INC)([^\p{{L}}\p{{N}}_]|$)', '\1', 'g'), ' (?:LLC|CO|INC)([^\p{{L}}\p{{N}}_]|$)', '\1', 'g'), '[[:punct:]]+$', ''), '^\s+|\s+$', '', 'g') AS name_bounded
     FROM s
     """,
 )
