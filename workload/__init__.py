@@ -8,4 +8,6 @@ MODULES = (
     "aggregate_queries",
     "order_queries",
     "linkage_queries",
+    "text_queries",
+    "spatial_queries",
 )
