@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from harrow.session import cut_lineage
 
-SLICE, PLACE = "_slice", "_place"
+SLICE, PLACE = "_scan_slice", "_scan_place"
 
 
 def _sorted_slices(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -50,15 +50,15 @@ def running_total(
     ``order`` must tell rows of a group apart for the result to be unique.
     """
     amount = F.lit(1).cast("long") if amount is None else amount
-    slices = _sorted_slices(df.withColumn("_amount", amount), keys, order)
-    totals = slices.groupBy(*keys, SLICE).agg(F.sum("_amount").alias("_total"))
+    slices = _sorted_slices(df.withColumn("_scan_amount", amount), keys, order)
+    totals = slices.groupBy(*keys, SLICE).agg(F.sum("_scan_amount").alias("_total"))
     earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, SLICE, F.sum("_total").over(earlier).alias("_carried"))
+    carried = totals.select(*keys, SLICE, F.sum("_total").over(earlier).alias("_scan_carried"))
     inside = Window.partitionBy(*keys, SLICE).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    scanned = slices.withColumn("_here", F.sum("_amount").over(inside))
+    scanned = slices.withColumn("_scan_here", F.sum("_scan_amount").over(inside))
     joined = _join_slices(scanned, carried, keys)
-    total = F.col("_here") + F.coalesce(F.col("_carried"), F.lit(0))
-    return joined.withColumn(out, total).drop("_amount", "_here", "_carried", SLICE, PLACE)
+    total = F.col("_scan_here") + F.coalesce(F.col("_scan_carried"), F.lit(0))
+    return joined.withColumn(out, total).drop("_scan_amount", "_scan_here", "_scan_carried", SLICE, PLACE)
 
 
 def row_positions(

@@ -10,4 +10,5 @@ MODULES = (
     "linkage_queries",
     "text_queries",
     "spatial_queries",
+    "model_queries",
 )
