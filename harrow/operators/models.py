@@ -52,7 +52,7 @@ def cross_validated_logit(train: DataFrame, rows: int, penalties: Sequence[float
     base = LogisticRegression(standardization=False, maxIter=200)
     grid = ParamGridBuilder().addGrid(base.regParam, [1.0 / (c * rows) for c in penalties]).build()
     judge = BinaryClassificationEvaluator()
-    return CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=1).fit(train)
+    return CrossValidator(estimator=base, estimatorParamMaps=grid, evaluator=judge, numFolds=folds, seed=1, parallelism=4).fit(train)
 
 
 @dataclass
@@ -101,12 +101,14 @@ class AdaBoost:
             votes.append(vote)
             if error == 0:
                 break
+            before = current
             scale = F.lit(1.0 / sums["w"])
             current = scored.select(
                 "features", "label", (F.col("_w") * scale * F.exp(F.col("_missed") * vote)).alias("_w")
             )
-            if (i + 1) % self.keep_every == 0:
-                current = cut_lineage(current)
+            current = cut_lineage(current) if (i + 1) % self.keep_every == 0 else current.persist()
+            current.count()
+            before.unpersist()
         if not trees:
             raise ValueError("no tree does better than chance")
         return AdaBoostModel(trees, votes)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from harrow.functions.dates import quarter_index
+from harrow.operators import aggregates, joins
 
 
 def with_trailing_mean(
@@ -25,3 +26,18 @@ def with_trailing_mean(
     means = lagged.groupBy(*keys, "quarter_index").agg(F.bround(F.avg("_value")).alias(out))
     indexed = facts.withColumn("quarter_index", quarter_index(F.col("year"), F.col("quarter")))
     return indexed.join(means, [*keys, "quarter_index"], "left")
+
+
+def staff_by_quarter(facts: DataFrame, keys: Sequence[str], count: str, pay: str, first: int, last: int) -> DataFrame:
+    """Headcount and mean pay per key and quarter on the complete grid, zero where none."""
+    summed = aggregates.sums_and_means(facts, [*keys, "year", "quarter"], [count], [pay])
+    grid = joins.quarter_grid(facts.select(*keys), first, last)
+    return joins.complete_counts(summed, grid, [*keys, "year", "quarter"], [f"sum_{count}", f"mean_{pay}"])
+
+
+def yearly_panel(cases: DataFrame, keys: Sequence[str], amount: str, violations: str, staff: str) -> DataFrame:
+    """Per key and year: mean amount over summed violations, and summed staff."""
+    grouped = cases.groupBy(*keys, "year").agg(
+        F.avg(amount).alias("mean_amount"), F.sum(violations).alias("sum_violations"), F.sum(staff).alias("staff")
+    )
+    return grouped.withColumn("amount_per_violation", F.try_divide(F.col("mean_amount"), F.col("sum_violations")))

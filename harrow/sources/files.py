@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from itertools import product
 
@@ -40,17 +41,25 @@ def source_file() -> Column:
     return F.col("_metadata.file_name")
 
 
+def source_folder() -> Column:
+    """Name of the folder that holds the file, for outputs written as folders."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
+
+
 def period_names(pattern: str, months: Sequence[str], years: Sequence[int]) -> list[tuple[str, int, str]]:
     """(file name, year, month) for every year and month of a name pattern."""
     return [(pattern.format(mon=m, year=y), y, m) for y, m in product(years, months)]
 
 
 def read_periods(
-    spark: SparkSession, glob: str, schema: T.StructType | str, year: str = "year", **options
+    spark: SparkSession, glob: str, schema: T.StructType | str, year: str = "year", pattern: str = r"20[0-9]{2}", **options
 ) -> DataFrame:
-    """All files of a glob in one read, the year taken from each file's name."""
+    """All files of a glob in one read, the year taken from each file's name,
+    or from its folder's when the file's own has none."""
     df = spark.read.option("header", True).options(**options).schema(schema).csv(glob)
-    found = F.regexp_extract(source_file(), r"20[0-9]{2}", 0)
+    own = F.regexp_extract(source_file(), pattern, 0)
+    outer = F.regexp_extract(source_folder(), pattern, 0)
+    found = F.when(source_file().startswith("part-") | (own == ""), outer).otherwise(own)
     return df.select("*", F.when(found != "", found).cast("int").alias(year))
 
 
@@ -66,17 +75,17 @@ def read_quarters(spark: SparkSession, glob: str, schema: T.StructType | str, **
 
 
 def read_sheets(
-    spark: SparkSession, folder: str, schema: T.StructType | str, index_pattern: str = r"^(Unnamed.*|_c0)$"
+    spark: SparkSession, glob: str, schema: T.StructType | str, index_pattern: str = r"^(Unnamed.*|_c0)$", **options
 ) -> DataFrame:
-    """A workbook exported as one file per sheet: stacked, index columns dropped."""
-    df = spark.read.option("header", True).schema(schema).csv(folder)
-    stacked = df.select("*", F.regexp_extract(source_file(), r"^(.*)\.[^.]+$", 1).alias("sheet"))
-    return without_index_columns(stacked, index_pattern)
+    """A workbook exported as one file or folder per sheet: stacked, the sheet's
+    name kept, index columns dropped."""
+    df = spark.read.option("header", True).options(**options).schema(schema).csv(glob)
+    own = F.regexp_extract(source_file(), r"^(.*)\.[^.]+$", 1)
+    sheet = F.when(source_file().startswith("part-"), source_folder()).otherwise(own)
+    return without_index_columns(df.select("*", sheet.alias("sheet")), index_pattern)
 
 
 def without_index_columns(df: DataFrame, index_pattern: str = r"^(Unnamed.*|_c0)$") -> DataFrame:
-    import re
-
     return df.drop(*[c for c in df.columns if re.search(index_pattern, c)])
 
 

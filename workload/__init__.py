@@ -11,4 +11,6 @@ MODULES = (
     "text_queries",
     "spatial_queries",
     "model_queries",
+    "plan_queries",
+    "source_queries",
 )
