@@ -245,5 +245,5 @@ SPANISH_MARKERS = (
 
 def contains_word_of(c: Column, words: Sequence[str]) -> Column:
     """Case-sensitive: does any of the words occur as a substring? Null stays null."""
-    escaped = [w.replace(".", r"\.") for w in words]
-    return c.rlike("|".join(escaped))
+    # plain substring searches: far cheaper than one alternation over long texts
+    return reduce(lambda a, b: a | b, [c.contains(w) for w in words])

@@ -23,10 +23,13 @@ MISSING, DISAGREE, PARTIAL, AGREE = -1, 0, 1, 2
 
 
 def combinations(df: DataFrame, block: Sequence[str], fields: Sequence[str]) -> DataFrame:
-    """Distinct block and field values with their row count; null blocks drop."""
+    """Distinct block and field values with their row count; null blocks drop.
+
+    Written once, as the steps of a linkage read them many times.
+    """
     known = df.dropna(subset=list(block)) if block else df
     blank_free = [F.when(F.length(f) > 0, F.col(f)).alias(f) for f in fields]
-    return known.select(*block, *blank_free).groupBy(*block, *fields).agg(F.count("*").alias("weight"))
+    return cut_lineage(known.select(*block, *blank_free).groupBy(*block, *fields).agg(F.count("*").alias("weight")))
 
 
 def _pairs_by(
@@ -269,8 +272,8 @@ def linked_combinations(
     agree: float = 0.94, partial: float = 0.88, threshold: float = 0.85,
 ) -> DataFrame:
     """Combination pairs whose match probability reaches the threshold."""
-    a = cut_lineage(combinations(left, block, fields))
-    b = None if right is None else cut_lineage(combinations(right, block, fields))
+    a = combinations(left, block, fields)
+    b = None if right is None else combinations(right, block, fields)
     _, table = posterior_table(pattern_counts(a, b, block, fields, agree, partial), fields)
     accepted = table.where(F.col("posterior") >= threshold).drop("pairs")
     kept = accepted.collect()  # a subset of the pattern table

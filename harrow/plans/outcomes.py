@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.functions.flags import settled, two_source_category, window_outcomes
@@ -41,15 +41,17 @@ def compare_sources(first: DataFrame, second: DataFrame, job: str, a: str, b: st
 def windows_with_event(jobs: DataFrame, events: DataFrame, group: str, start: str, end: str, day: str, out: str) -> DataFrame:
     """Whether an event of the job's group falls in the job's window.
 
-    Distinct windows are spread over their days and met with distinct event
-    days by equality, so a group's jobs are never paired with its events.
+    For each distinct start the group's next event day is found, and the job
+    is flagged when that day is not after its end. Only distinct days of a
+    group meet in a window, so its size is bounded by the calendar and a
+    group's jobs are never paired with its events.
     """
-    windows = jobs.select(group, start, end).distinct()
-    days = windows.where(F.col(start) <= F.col(end)).select(
-        group, start, end, F.explode(F.sequence(F.col(start), F.col(end))).alias("_day")
-    )
-    known = events.select(group, F.col(day).alias("_day")).distinct()
-    hit = days.join(known, [group, "_day"], "left_semi").select(group, start, end).distinct()
-    return jobs.join(hit.withColumn("_hit", F.lit(True)), [group, start, end], "left").withColumn(
-        out, F.coalesce("_hit", F.lit(False))
-    ).drop("_hit")
+    known = events.select(group, F.col(day).alias("_day"), F.col(day).alias("_event"))
+    starts = jobs.select(group, F.col(start).alias("_day"), F.lit(None).cast(known.schema["_event"].dataType).alias("_event"))
+    days = known.unionByName(starts).where(F.col("_day").isNotNull()).groupBy(group, "_day").agg(F.max("_event").alias("_event"))
+    onward = Window.partitionBy(group).orderBy("_day").rowsBetween(0, Window.unboundedFollowing)
+    upcoming = days.select(
+        F.col(group).alias("_group"), "_day", F.first("_event", ignorenulls=True).over(onward).alias("_next")
+    ).where(F.col("_next").isNotNull())
+    joined = jobs.join(upcoming, (jobs[group] == upcoming["_group"]) & (jobs[start] == upcoming["_day"]), "left")
+    return joined.withColumn(out, F.coalesce(F.col("_next") <= F.col(end), F.lit(False))).drop("_group", "_day", "_next")

@@ -23,6 +23,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a table just read from files at least one task per core.
+
+    A file is only cut between its row groups, so heavy work per row on a
+    small table can end up in one task. Tables with enough splits, which is any
+    large one, pass through unchanged. Meant for plain reads: asking a plan
+    with shuffles for its partitions would run them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder for cut lineage, taken from ``spark.checkpoint.dir``.
 
