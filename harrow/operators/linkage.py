@@ -168,9 +168,12 @@ def pattern_counts(
 
     near = cut_lineage(_near_pairs(left, right, block, fields, agree, partial))
     every = pattern_counts(without_lead(left), without_lead(right), block, others, agree, partial)
-    known = pattern_counts(
-        without_lead(with_lead(left)), without_lead(with_lead(right)), block, others, agree, partial
-    )
+    if any(df is not None and not df.where(F.col(lead).isNull()).isEmpty() for df in (left, right)):
+        known = pattern_counts(
+            without_lead(with_lead(left)), without_lead(with_lead(right)), block, others, agree, partial
+        )
+    else:
+        known = every
 
     def part(df, level, sign):
         return df.select(
@@ -380,7 +383,7 @@ def dedupe_values(
 
     A row with a blank value is a group of its own (null group).
     """
-    edges = similar_values(df, None, block, field, cut)
+    edges = similar_values(df, None, block, field, cut, spanning=True)
 
     def node(value):
         return F.concat_ws("\u0001", *[F.col(x).cast("string") for x in [*block, value]])

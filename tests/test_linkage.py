@@ -74,6 +74,19 @@ def test_tiles_give_the_same_pairs_as_one_task(spark):
     assert got.count() == len(want)
 
 
+def test_spanning_pairs_give_the_same_groups(spark):
+    family = [f"GREEN VALLEY FARM NUMBER {i}" for i in range(60)]
+    df = spark.createDataFrame([("tx", v) for v in family + names(80, 11)], "state string, name string")
+    full = candidates.similar_values(df, None, ["state"], "name", 0.9, tile=25)
+    few = candidates.similar_values(df, None, ["state"], "name", 0.9, tile=25, spanning=True)
+    assert few.count() < full.count()
+    nodes = df.select(F.col("name").alias("node"))
+    groups = [
+        rows(linkage.connected_groups(nodes, e, a="left_value", b="right_value"), "node", "group") for e in (full, few)
+    ]
+    assert groups[0] == groups[1]
+
+
 def test_two_tables_without_block(spark):
     a = spark.createDataFrame([(n,) for n in names(60, 6)], "name string")
     b = spark.createDataFrame([(n,) for n in names(60, 7)], "name string")

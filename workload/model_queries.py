@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from harrow.functions import flags, strings
 from harrow.operators import aggregates, features, groups, models
+from harrow.operators.joins import complete_counts
 from workload.registry import query
 
 
@@ -251,7 +252,8 @@ def averaged_coefficients(t):
 @query(
     "ML-13 PL-11",
     """
-    WITH p AS (SELECT c_nationkey AS n, year(o_orderdate) AS y, count(*)::DOUBLE AS x, sum(o_totalprice) / 1000 AS v FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
+    WITH o AS (SELECT c_nationkey AS n, year(o_orderdate) AS y, o_totalprice AS v FROM orders JOIN customer ON o_custkey = c_custkey),
+    p AS (SELECT n_nationkey AS n, range AS y, count(v)::DOUBLE AS x, coalesce(sum(v), 0) / 1000 AS v FROM nation, range(1995, 2002) LEFT JOIN o ON o.n = n_nationkey AND o.y = range GROUP BY ALL),
     d AS (SELECT n, x - avg(x) OVER (PARTITION BY n) - avg(x) OVER (PARTITION BY y) + avg(x) OVER () AS x, v - avg(v) OVER (PARTITION BY n) - avg(v) OVER (PARTITION BY y) + avg(v) OVER () AS v, y FROM p),
     s AS (SELECT count(*) AS c, count(DISTINCT n) AS u, count(DISTINCT y) AS p, sum(x * x) AS xx, sum(x * v) AS xy, sum(v * v) AS yy FROM d)
     SELECT round(xy / xx, 6) AS slope, round(sqrt((yy - xy / xx * xy) / (c - u - p) / xx), 6) AS std_error, c AS n FROM s
@@ -259,10 +261,13 @@ def averaged_coefficients(t):
 )
 def two_way_panel(t):
     df = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
-    panel = df.groupBy("c_nationkey", F.year("o_orderdate").alias("year")).agg(
+    summed = df.groupBy(F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year")).agg(
         F.count("*").alias("x"), (F.sum("o_totalprice") / 1000).alias("v")
     )
-    out = models.two_way_effects(panel, "c_nationkey", "year", "x", "v")
+    years = F.explode(F.sequence(F.lit(1995), F.lit(2001))).alias("year")
+    grid = t.nation.select(F.col("n_nationkey").alias("nation"), years)
+    panel = complete_counts(summed, grid, ["nation", "year"], ["x", "v"])
+    out = models.two_way_effects(panel, "nation", "year", "x", "v")
     return out.withColumns({"slope": F.round("slope", 6), "std_error": F.round("std_error", 6)})
 
 
