@@ -50,8 +50,10 @@ def join_points(
         & py.between(F.col("_min_y"), F.col("_max_y"))
         & geometry.contains(F.col("_edges"), px, py)
     )
-    joined = cells.join(filed, match, "left")
-    return joined.select(*points.columns, *attributes)
+    # points without coordinates have no cell; kept out of the join they do not pile up under a null key
+    placed_rows = cells.where(px.isNotNull() & py.isNotNull()).join(filed, match, "left")
+    loose = points.where(points[x].isNull() | points[y].isNull())
+    return placed_rows.select(*points.columns, *attributes).unionByName(loose, allowMissingColumns=True)
 
 
 def stack_layers(layers: dict[str, DataFrame], label: str = "layer") -> DataFrame:
