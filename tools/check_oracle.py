@@ -78,6 +78,8 @@ def main():
     parser = argparse.ArgumentParser()
     parser.add_argument("--sf", default="0.01")
     parser.add_argument("--module")
+    parser.add_argument("--sql-only", action="store_true", help="leave out queries without SQL")
+    parser.add_argument("--no-sql", action="store_true", help="only queries without SQL")
     parser.add_argument("names", nargs="*")
     args = parser.parse_args()
     folder = f"/root/testdata/sf{args.sf}"
@@ -85,6 +87,8 @@ def main():
     picked = [
         e for e in entries.values()
         if (not args.names or e.name in args.names)
+        and not (args.sql_only and not e.sql)
+        and not (args.no_sql and e.sql)
         and (not args.module or e.module in args.module.split(","))
     ]
     spark = local_session(8)

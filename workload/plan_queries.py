@@ -115,8 +115,8 @@ def cleaned_intake(t):
     "PL-05 AG-16 AG-17 AG-20 NUM-02 JN-18 SRC-08",
     """
     WITH w AS (SELECT l_suppkey AS area, count(*)::DOUBLE AS B1_001, count(*) FILTER (l_returnflag = 'R')::DOUBLE AS B1_002, count(*) FILTER (l_returnflag = 'A')::DOUBLE AS B1_003,
-        sum(l_quantity) AS B2_001, sum(l_quantity) FILTER (l_linestatus = 'O') AS B2_002, round(avg(l_extendedprice) - 38000, 2) AS B3_001 FROM lineitem WHERE l_tax > 0.07 AND l_discount > 0.07 GROUP BY 1)
-    SELECT s_suppkey AS area, round(B1_002 / B1_001 * 100, 6) AS "B1_002", round(B1_003 / B1_001 * 100, 6) AS "B1_003", round(B2_002 / B2_001 * 100, 6) AS "B2_002",
+        sum(l_quantity) AS B2_001, sum(l_quantity) FILTER (l_linestatus = 'O') AS B2_002, max(l_extendedprice) - 60000 AS B3_001 FROM lineitem WHERE l_tax > 0.07 AND l_discount > 0.07 GROUP BY 1)
+    SELECT s_suppkey AS area, B1_002 / B1_001 * 100 AS "B1_002", B1_003 / B1_001 * 100 AS "B1_003", B2_002 / B2_001 * 100 AS "B2_002",
       CASE WHEN B3_001 >= 0 THEN B3_001 END AS "B3_001" FROM supplier LEFT JOIN w ON area = s_suppkey
     """,
 )
@@ -128,14 +128,13 @@ def area_predictors(t):
         F.count_if(F.col("l_returnflag") == "A").cast("double").alias("B1_003"),
         F.sum("l_quantity").alias("B2_001"),
         F.sum(F.when(F.col("l_linestatus") == "O", F.col("l_quantity"))).alias("B2_002"),
-        F.round(F.avg("l_extendedprice") - 38000, 2).alias("B3_001"),
+        (F.max("l_extendedprice") - 60000).alias("B3_001"),
     )
     percent = ["B1_001", "B1_002", "B1_003", "B2_001", "B2_002"]
     # the codebook lists the table's own variables
     codebook = line.limit(1).select(F.explode(F.array(*[F.lit(v) for v in percent])).alias("name"))
     required = t.supplier.select(F.col("s_suppkey").alias("area"))
-    out = tracts.area_predictors(wide, "area", codebook, percent, ["B3_001"], required)
-    return out.withColumns({c: F.round(c, 6) for c in ["B1_002", "B1_003", "B2_002"]})
+    return tracts.area_predictors(wide, "area", codebook, percent, ["B3_001"], required)
 
 
 @query(
@@ -238,7 +237,7 @@ def consolidated_titles(t):
     h AS (SELECT g.nation, i, coalesce(count(heads), 0) AS heads FROM g LEFT JOIN f ON f.nation = g.nation AND f.year = y AND f.quarter = q GROUP BY ALL),
     c AS (SELECT s_nationkey AS nation, year(l_shipdate) AS year, quarter(l_shipdate) AS quarter, l_extendedprice AS amount, l_linenumber AS violations FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'),
     k AS (SELECT c.*, (SELECT round_even(avg(heads), 0) FROM h WHERE h.nation = c.nation AND h.i BETWEEN c.year * 4 + c.quarter - 5 AND c.year * 4 + c.quarter - 2) AS staff FROM c)
-    SELECT nation, year::INTEGER AS year, round(avg(amount), 6) AS mean_amount, sum(violations)::BIGINT AS sum_violations, round(sum(staff), 2) AS staff, round(avg(amount) / sum(violations), 6) AS amount_per_violation FROM k GROUP BY ALL
+    SELECT nation, year::INTEGER AS year, round(avg(amount), 8) AS mean_amount, sum(violations)::BIGINT AS sum_violations, round(sum(staff), 2) AS staff, round(avg(amount) / sum(violations), 6) AS amount_per_violation FROM k GROUP BY ALL
     """,
 )
 def staffing_panel(t):
@@ -253,7 +252,7 @@ def staffing_panel(t):
     )
     lagged = staffing.with_trailing_mean(cases, staff, ["nation"], "sum_heads", "staff")
     out = staffing.yearly_panel(lagged, ["nation"], "amount", "violations", "staff")
-    return out.withColumns({"mean_amount": F.round("mean_amount", 6), "staff": F.round("staff", 2), "amount_per_violation": F.round("amount_per_violation", 6)})
+    return out.withColumns({"mean_amount": F.round("mean_amount", 8), "staff": F.round("staff", 2), "amount_per_violation": F.round("amount_per_violation", 6)})
 
 
 @query("PL-12 AG-09 FE-06 FE-08 ML-02 JN-13")
