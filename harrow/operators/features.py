@@ -43,8 +43,7 @@ def split_by_group(df: DataFrame, group: str, share: float = 0.8, seed: int = 42
 
 def split_rows(df: DataFrame, key: str, share: float = 0.8, seed: int = 42, out: str = "is_train") -> DataFrame:
     """Random row split by a hash of the key; the same row always falls on the same side."""
-    bucket = F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000))
-    return df.withColumn(out, bucket < int(share * 1_000_000))
+    return df.withColumn(out, draw_number(seed, F.col(key)) % 1_000_000 < int(share * 1_000_000))
 
 
 def impute_mean(train: DataFrame, others: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:

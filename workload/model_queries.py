@@ -39,9 +39,14 @@ def group_split(t):
     return features.split_by_group(t.orders, "o_custkey").select("o_orderkey", "is_train")
 
 
-@query("FE-03")
+@query(
+    "FE-03",
+    """
+    SELECT o_orderkey, ('0x' || substr(md5(o_orderkey::VARCHAR || ':42'), 1, 8))::BIGINT % 1000000 < 800000 AS is_train FROM orders
+    """,
+)
 def row_split(t):
-    return features.split_rows(t.orders, "o_orderkey").groupBy("is_train").agg(F.count("*").alias("n"))
+    return features.split_rows(t.orders, "o_orderkey").select("o_orderkey", "is_train")
 
 
 @query(
@@ -88,7 +93,14 @@ def dummy_columns(t):
     return features.dummies(df, {"o_orderstatus": features.levels_of(df, "o_orderstatus")})
 
 
-@query("FE-08")
+@query(
+    "FE-08",
+    """
+    WITH l AS (SELECT DISTINCT o_orderpriority AS level FROM orders WHERE year(o_orderdate) < 2000 AND o_orderpriority <> '5-LOW')
+    SELECT o_orderkey, list(CASE WHEN o_orderpriority = level THEN '1.0' ELSE '0.0' END ORDER BY level) AS hot
+    FROM orders, l WHERE year(o_orderdate) >= 2000 GROUP BY o_orderkey
+    """,
+)
 def one_hot_levels(t):
     old, new = t.orders.where("year(o_orderdate) < 2000 AND o_orderpriority <> '5-LOW'"), t.orders.where("year(o_orderdate) >= 2000")
     encoder = features.one_hot(old, ["o_orderpriority"])
