@@ -350,28 +350,27 @@ def expand_null_safe(pairs, left, right, block, fields, left_id, right_id) -> Da
 def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
     """(node, group): the group is the smallest node it is linked with.
 
-    Labels move to the smallest neighbour and then to that label's own label,
-    so long chains close in few rounds. Each round is written to the
-    checkpoint folder; the loop ends when no label moved.
+    In each round a whole group moves to the smallest group it touches, and
+    chains of moves are shortened, so the number of groups at least halves and
+    few rounds are needed whatever the chains' length. Each round is written to
+    the checkpoint folder; the loop ends when no group moves.
     """
     both = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
     both = cut_lineage(both.unionByName(both.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))).distinct())
-    linked = both.select(F.col("_from").alias(node)).distinct()
-    labels = cut_lineage(linked.withColumn("group", F.col(node)))
+    labels = both.select(F.col("_from").alias(node)).distinct().withColumn("group", F.col(node))
+    labels = cut_lineage(labels)
     while True:
-        near = both.join(labels, both["_to"] == labels[node]).groupBy("_from").agg(F.min("group").alias("_near"))
-        stepped = labels.join(near, labels[node] == near["_from"], "left").select(
-            node, F.least("group", F.coalesce("_near", "group")).alias("group"), F.col("group").alias("_old")
-        )
-        roots = labels.select(F.col(node).alias("_root"), F.col("group").alias("_jump"))
-        jumped = stepped.join(roots, stepped["group"] == roots["_root"], "left").select(
-            node, F.least("group", F.coalesce("_jump", "group")).alias("group"), "_old"
-        )
-        fresh = cut_lineage(jumped)
-        moved = fresh.where(F.col("group") != F.col("_old")).limit(1).count()
-        labels = fresh.drop("_old")
-        if not moved:
+        theirs = labels.select(F.col(node).alias("_to"), F.col("group").alias("_other"))
+        near = both.join(theirs, "_to").groupBy("_from").agg(F.min("_other").alias("_near"))
+        touched = labels.join(near, labels[node] == near["_from"])
+        moves = touched.groupBy(F.col("group").alias("_old")).agg(F.least(F.first("group"), F.min("_near")).alias("_new"))
+        moves = cut_lineage(moves)
+        if moves.where(F.col("_new") < F.col("_old")).isEmpty():
             break
+        for _ in range(2):
+            onward = moves.select(F.col("_old").alias("_at"), F.col("_new").alias("_next"))
+            moves = moves.join(onward, moves["_new"] == onward["_at"]).select("_old", F.col("_next").alias("_new"))
+        labels = cut_lineage(labels.join(moves, labels["group"] == moves["_old"]).select(node, F.col("_new").alias("group")))
     alone = nodes.select(node).distinct().join(labels, node, "left")
     return alone.select(node, F.coalesce("group", node).alias("group"))
 
