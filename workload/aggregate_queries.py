@@ -26,6 +26,7 @@ def frequency_table(t):
     SELECT event_type, count(DISTINCT user_id) AS users, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high,
       min(ts)::DATE AS first_date, max(ts)::DATE AS last_date FROM events GROUP BY 1
     """,
+    days="first_date last_date",
 )
 def named_aggregates(t):
     return t.events.groupBy("event_type").agg(
@@ -134,6 +135,7 @@ def modes_by_group(t):
       (SELECT o_orderstatus FROM st WHERE st.o_custkey = o.o_custkey ORDER BY n DESC, o_orderstatus LIMIT 1) AS o_orderstatus
     FROM orders o GROUP BY o.o_custkey
     """,
+    days="START_DATE END_DATE",
 )
 def representative_rows(t):
     day = F.col("o_orderdate").cast("date")
@@ -202,6 +204,7 @@ def null_counts(t):
 @query(
     "AG-14",
     "SELECT l_suppkey, min(l_shipdate)::DATE AS first_date, max(l_shipdate)::DATE AS last_date FROM lineitem GROUP BY 1",
+    days="first_date last_date",
 )
 def date_ranges(t):
     return agg.date_range(t.lineitem.withColumn("d", F.col("l_shipdate").cast("date")), "d", ["l_suppkey"])

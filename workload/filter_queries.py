@@ -73,6 +73,7 @@ def complete_and_incomplete(t):
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate FROM lineitem
     WHERE l_returnflag <> 'N' AND l_shipdate BETWEEN TIMESTAMP '1997-01-01' AND TIMESTAMP '1998-06-30'
     """,
+    days="l_shipdate",
 )
 def dates_in_period(t):
     line = t.lineitem.withColumn("l_shipdate", F.when(F.col("l_returnflag") != "N", F.col("l_shipdate")))

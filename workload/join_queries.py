@@ -169,6 +169,7 @@ def complete_quarters(t):
     SELECT m.month, coalesce(n, 0) AS n FROM m LEFT JOIN (
       SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders WHERE o_totalprice > 498000 GROUP BY 1) c ON c.month = m.month
     """,
+    days="month",
 )
 def month_calendar_counts(t):
     grid = joins.month_calendar(t.orders, "o_orderdate")

@@ -97,7 +97,7 @@ def dummy_columns(t):
     "FE-08",
     """
     WITH l AS (SELECT DISTINCT o_orderpriority AS level FROM orders WHERE year(o_orderdate) < 2000 AND o_orderpriority <> '5-LOW')
-    SELECT o_orderkey, list(CASE WHEN o_orderpriority = level THEN '1.0' ELSE '0.0' END ORDER BY level) AS hot
+    SELECT o_orderkey, string_agg(CASE WHEN o_orderpriority = level THEN '1.0' ELSE '0.0' END, ',' ORDER BY level) AS hot
     FROM orders, l WHERE year(o_orderdate) >= 2000 GROUP BY o_orderkey
     """,
 )
@@ -106,7 +106,7 @@ def one_hot_levels(t):
     encoder = features.one_hot(old, ["o_orderpriority"])
     from pyspark.ml.functions import vector_to_array
 
-    return encoder.transform(new).select("o_orderkey", vector_to_array("o_orderpriority_hot").cast("array<string>").alias("hot"))
+    return encoder.transform(new).select("o_orderkey", F.array_join(vector_to_array("o_orderpriority_hot").cast("array<string>"), ",").alias("hot"))
 
 
 @query(

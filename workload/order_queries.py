@@ -25,6 +25,7 @@ def sequential_ids(t):
       SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY d NULLS LAST, o_orderkey) AS n FROM (
         SELECT o_custkey, o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_orderdate::DATE END AS d FROM orders)) WHERE n = 1
     """,
+    days="d",
 )
 def earliest_of_group(t):
     day = F.when(F.col("o_orderstatus") != "P", F.col("o_orderdate").cast("date"))

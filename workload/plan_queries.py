@@ -87,6 +87,7 @@ def linked_and_expanded(t):
     f AS (SELECT *, bool_and(opponent IS NULL) OVER (PARTITION BY case_number) AS x, bool_and(opponent_state IS NULL) OVER (PARTITION BY case_number) AS y FROM m)
     SELECT DISTINCT case_number, date, opponent, opponent_state FROM f WHERE NOT x AND NOT y AND coalesce(NOT contains(opponent, 'Dept'), true)
     """,
+    days="date",
 )
 def cleaned_intake(t):
     day = F.col("o_orderdate").cast("date")
@@ -337,6 +338,7 @@ def debarment_overlap(t):
     m AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(d)) FROM d), (SELECT date_trunc('month', max(d)) FROM d), INTERVAL 1 MONTH))::DATE AS month)
     SELECT month, s.source, (SELECT count(DISTINCT id) FROM d WHERE d.source = s.source AND date_trunc('month', d.d)::DATE = month) AS n FROM m, (VALUES ('orders'), ('returns')) s(source)
     """,
+    days="month",
 )
 def monthly_sources(t):
     returns = t.lineitem.where("l_returnflag = 'R' AND l_quantity = 50")

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from harrow.session import spread
 
@@ -43,15 +44,24 @@ class Entry:
 ENTRIES: dict[str, Entry] = {}
 
 
-def query(covers: str, sql: str | None = None):
-    """Register ``fn(tables)`` under its own name; ``covers`` lists inventory ids."""
+def query(covers: str, sql: str | None = None, days: str = ""):
+    """Register ``fn(tables)`` under its own name; ``covers`` lists inventory ids.
+
+    ``days`` names date columns: both sides give them as ``YYYY-MM-DD`` text, as
+    the engines hand dates to Python in different types.
+    """
+    dated = days.split()
+    if sql and dated:
+        casts = ", ".join(f'"{c}"::DATE::VARCHAR AS "{c}"' for c in dated)
+        sql = f"SELECT * REPLACE ({casts}) FROM ({sql})"
 
     def register(fn):
         if fn.__name__ in ENTRIES:
             raise ValueError(f"query {fn.__name__} is defined twice")
 
         def run(spark: SparkSession, folder: str) -> DataFrame:
-            return fn(Tables(spark, folder))
+            out = fn(Tables(spark, folder))
+            return out.withColumns({c: F.col(c).cast("date").cast("string") for c in dated}) if dated else out
 
         run.__name__ = fn.__name__
         run.__doc__ = fn.__doc__

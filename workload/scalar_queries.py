@@ -295,6 +295,7 @@ def model_labels(t):
            o_orderdate::DATE AS from_head, NULL::DATE AS from_junk
     FROM orders
     """,
+    days="from_slash from_long from_compact from_head from_junk",
 )
 def parsed_dates(t):
     d = F.col("o_orderdate")
@@ -312,9 +313,10 @@ def parsed_dates(t):
     "DT-03 DT-05 DT-06",
     """
     SELECT event_id, year(ts)::INTEGER AS y, date_trunc('month', ts)::DATE AS month, 'MAR' AS quarter_end,
-           ts::DATE AS day, (ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-20')::INTEGER AS in_range, ts AS wall_time
+           ts::DATE AS day, (ts::DATE BETWEEN DATE '2024-01-10' AND DATE '2024-01-20')::INTEGER AS in_range, strftime(ts, '%Y-%m-%d %H:%M:%S') AS wall_time
     FROM events
     """,
+    days="month day",
 )
 def date_parts(t):
     ts = F.col("ts")
@@ -326,7 +328,7 @@ def date_parts(t):
         dates.quarter_label(ts).alias("quarter_end"),
         day.alias("day"),
         dates.in_range_flag(day, F.lit("2024-01-10").cast("date"), F.lit("2024-01-20").cast("date")).alias("in_range"),
-        dates.drop_zone(ts.cast("timestamp")).alias("wall_time"),
+        F.date_format(dates.drop_zone(ts.cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("wall_time"),
     )
 
 

@@ -173,6 +173,7 @@ def column_kinds(t):
     """
     SELECT o_orderkey, strptime(strftime(o_orderdate, '%Y%m%d'), '%Y%m%d')::DATE AS current_asof FROM orders
     """,
+    days="current_asof",
 )
 def snapshot_stamp(t):
     name = F.concat(F.lit("registry_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit(".csv"))
