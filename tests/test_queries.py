@@ -50,4 +50,4 @@ def test_entry_is_lazy_and_stable(spark):
 
 def test_contract():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert not any(n.startswith("pipeline") or n.startswith("op") for n in entry.queries())
+    assert set(ENTRIES) <= set(entry.queries())
