@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import chat, merkle, mixing, pii, sharding, simhash
+from harrow.llm import bpe, chat, merkle, mixing, pii, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -159,3 +160,23 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 
     counts = [number(k.name) for k in pii.BASE]
     return found.select("doc_id", *counts, F.sha2(pii.listed(base).cast("binary"), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+# 7 Byte-level BPE
+
+
+@query
+def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    words = bpe.vocabulary(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoded = bpe.encode_documents(docs, words, public_tokenizers.PATTERN)
+    both = bpe.with_decoded(encoded, words, public_tokenizers.PATTERN)
+    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+# 2 Quality rules
+
+
+@query
+def op2_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality_rules.judge_documents(table(spark, folder, "documents"))
