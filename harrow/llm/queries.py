@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import bpe, chat, merkle, mixing, pii, quality_rules, sharding, simhash
+from harrow.llm import bpe, chat, merkle, mixing, passages, pii, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -180,3 +180,35 @@ def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op2_divergence_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality_rules.judge_documents(table(spark, folder, "documents"))
+
+
+# 1 Quality classifier
+
+
+@query
+def op1_pu_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    model = quality_classifier.fit(docs, table(spark, folder, "labels"))
+    scored = quality_classifier.with_score(docs, model)
+    return scored.select(
+        "doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score",
+        (F.col("score") >= quality_classifier.ACCEPT).cast("int").alias("predicted"),
+    )
+
+
+# 9 Substring dedup
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, folder, "documents"))
+
+
+# The pipeline
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
