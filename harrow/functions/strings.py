@@ -226,7 +226,7 @@ INSTITUTIONS = (
     "United States of America",
     "Texas Attorney General",
     "Texas Employment Commission",
-    "US Citizenship And Immigration Se",
+    "US Citizenship And Immigration Services",
     "Texas Unemployment Commission",
     "workforce",
 )

@@ -47,13 +47,13 @@ def sums_and_means(df: DataFrame, keys: Sequence[str], sums: Sequence[str], mean
 
 
 def distinct_counts(df: DataFrame, keys: Sequence[str], unit: str, conditions: Mapping[str, Column | None]) -> DataFrame:
-    """Distinct units per group, plain (``None``) or under a condition."""
-    return df.groupBy(*keys).agg(
-        *[
-            F.count_distinct(F.col(unit) if cond is None else F.when(cond, F.col(unit))).alias(name)
-            for name, cond in conditions.items()
-        ]
-    )
+    """Distinct units per group, plain (``None``) or under a condition.
+
+    Rows are reduced to one per group and unit, which knows the conditions it met.
+    """
+    met = {n: F.lit(True) if c is None else F.coalesce(c, F.lit(False)) for n, c in conditions.items()}
+    units = df.groupBy(*keys, F.col(unit).alias("_unit")).agg(*[F.bool_or(c).alias(n) for n, c in met.items()])
+    return units.groupBy(*keys).agg(*[F.count_if(F.col("_unit").isNotNull() & F.col(n)).alias(n) for n in met])
 
 
 def distinct_proportions(
@@ -123,9 +123,10 @@ def concat_text(
 ) -> DataFrame:
     """A group's texts in order, joined by ``sep``, line breaks removed.
 
-    Columns: key, part, text, n_chars. A group under ``part_chars`` characters
-    is one row with part 0. A larger group continues over further parts, so a
-    task never holds more than one part, and nothing is cut.
+    Columns: key, part, text, n_chars. A group is a row for each begun
+    ``part_chars`` characters, numbered from 0; parts after the first begin with the
+    separator, so a group's text is its parts put together in order. A task holds one
+    part, and nothing is cut.
     """
     known = df.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     piece = F.regexp_replace(F.col(text), "\n", "")
@@ -136,14 +137,13 @@ def concat_text(
     small = joined.where(F.col("_size") <= part_chars).withColumn("part", F.lit(0).cast("long"))
     big = joined.where(F.col("_size") > part_chars)
     columns = [key, *by, "_text", "part"]
-    if not big.isEmpty():
-        # position by the characters before each piece
-        upto = running_total(big, [key], [F.col(c) for c in by], F.length("_text") + len(sep), "_upto")
-        start = F.col("_upto") - F.length("_text") - len(sep)
-        big = upto.withColumn("part", F.floor(start / part_chars))
-        small = small.select(*columns).unionByName(big.select(*columns))
+    # position by the characters before each piece
+    upto = running_total(big, [key], [F.col(c) for c in by], F.length("_text") + len(sep), "_upto")
+    start = F.col("_upto") - F.length("_text") - len(sep)
+    placed = small.select(*columns).unionByName(upto.withColumn("part", F.floor(start / part_chars)).select(*columns))
     gathered = F.array_sort(F.collect_list(F.struct(*by, "_text")))
-    out = small.groupBy(key, "part").agg(F.array_join(gathered["_text"], sep).alias("text"))
+    out = placed.groupBy(key, "part").agg(F.array_join(gathered["_text"], sep).alias("_joined"))
+    out = out.select(key, "part", F.concat(F.when(F.col("part") > 0, sep).otherwise(""), "_joined").alias("text"))
     return out.withColumn("n_chars", F.length("text"))
 
 
@@ -192,11 +192,13 @@ def date_range(df: DataFrame, date: str, keys: Sequence[str] = ()) -> DataFrame:
 
 def subset_shares(df: DataFrame, condition: Column, unit: str) -> DataFrame:
     """Rows and distinct units, those under a condition, and both shares."""
-    counted = df.agg(
-        F.count("*").alias("n_rows"),
-        F.count_if(condition).alias("n_rows_with"),
-        F.count_distinct(unit).alias("n_units"),
-        F.count_distinct(F.when(condition, F.col(unit))).alias("n_units_with"),
+    units = df.groupBy(F.col(unit).alias("_unit")).agg(F.count("*").alias("_rows"), F.count_if(condition).alias("_with"))
+    known = F.col("_unit").isNotNull()
+    counted = units.agg(
+        F.coalesce(F.sum("_rows"), F.lit(0)).alias("n_rows"),
+        F.coalesce(F.sum("_with"), F.lit(0)).alias("n_rows_with"),
+        F.count_if(known).alias("n_units"),
+        F.count_if(known & (F.col("_with") > 0)).alias("n_units_with"),
     )
     return counted.withColumns({
         "share_rows_with": F.try_divide(F.col("n_rows_with"), F.col("n_rows")),

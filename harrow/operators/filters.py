@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Sequence
 from functools import reduce
 
@@ -93,7 +94,13 @@ def without_flat_groups(df: DataFrame, key: str, value: str) -> DataFrame:
 
 def counted_in_years(df: DataFrame, count: str, date: str, first: int, last: int) -> DataFrame:
     """Positive counts loaded in the closed span of years."""
-    return df.where((F.col(count) > 0) & F.year(date).between(first, last))
+    return df.where((F.col(count) > 0) & in_years(date, first, last))
+
+
+def in_years(date: str, first: int, last: int) -> Column:
+    """Whether a date lies in the closed span of years, as bounds that a scan can use."""
+    day = F.col(date)
+    return (day >= F.lit(datetime.date(first, 1, 1))) & (day < F.lit(datetime.date(last + 1, 1, 1)))
 
 
 def with_status(df: DataFrame, status: str, kept: Sequence[str]) -> DataFrame:

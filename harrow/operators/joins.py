@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harrow.operators.aggregates import distinct_counts
+
 
 def suffix_overlap(
     left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str]
@@ -164,10 +166,7 @@ def grouped_share(
     total: str = "n_units", hits: str = "n_hits", share: str = "share",
 ) -> DataFrame:
     """Distinct units per group, those meeting a condition, and their share, in one pass."""
-    counted = df.groupBy(*keys).agg(
-        F.count_distinct(F.col(unit)).alias(total),
-        F.count_distinct(F.when(condition, F.col(unit))).alias(hits),
-    )
+    counted = distinct_counts(df, keys, unit, {total: None, hits: condition})
     return counted.withColumn(share, F.coalesce(F.try_divide(F.col(hits), F.col(total)), F.lit(0.0)))
 
 

@@ -211,7 +211,7 @@ class LinkModel:
         return m / (m + u) if m + u else 0.0
 
 
-def fit_link_model(patterns: Sequence[tuple[dict[str, int], float]], rounds: int = 500, tol: float = 1e-9) -> LinkModel:
+def fit_link_model(patterns: Sequence[tuple[dict[str, int], float]], rounds: int = 20_000, tol: float = 1e-9) -> LinkModel:
     """Mixture of matches and non-matches fitted to pattern counts.
 
     It starts from the pairs that agree on every known field. The same pairs
@@ -254,8 +254,8 @@ def fit_link_model(patterns: Sequence[tuple[dict[str, int], float]], rounds: int
         moved = abs(fresh.match_share - model.match_share)
         model = fresh
         if moved < tol * model.match_share:
-            break
-    return model
+            return model
+    raise RuntimeError(f"the match share did not settle to {tol} in {rounds} rounds")
 
 
 def posterior_table(counts: DataFrame, fields: Sequence[str]) -> tuple[LinkModel, DataFrame]:

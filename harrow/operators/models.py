@@ -258,6 +258,8 @@ def two_way_effects(df: DataFrame, unit: str, period: str, x: str, y: str, tol:
         ).first()
         if worst["a"] <= tol * max(worst["sx"], 1.0) and worst["b"] <= tol * max(worst["sy"], 1.0):
             break
+    else:
+        raise RuntimeError(f"the effects did not settle to {tol} in {rounds} rounds")
     sums = current.agg(
         F.count("*").alias("n"), F.count_distinct(unit).alias("u"), F.count_distinct(period).alias("p"),
         F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"),

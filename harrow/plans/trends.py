@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,14 +16,12 @@ def yearly_counts(
     df: DataFrame, date: str, units: Mapping[str, str], conditions: Mapping[str, Column], first: int, last: int
 ) -> DataFrame:
     """Long table (year, variable, value): distinct units, plain and under each condition."""
-    kept = df.withColumn("year", F.year(date)).where(F.col("year").between(first, last))
-    columns = {}
+    kept = df.where(filters.in_years(date, first, last)).withColumn("year", F.year(date))
+    long = []
     for name, unit in units.items():
-        columns[f"unique_{name}"] = F.count_distinct(unit)
-        for label, condition in conditions.items():
-            columns[f"unique_{name}_with_{label}"] = F.count_distinct(F.when(condition, F.col(unit)))
-    wide = kept.groupBy("year").agg(*[c.alias(n) for n, c in columns.items()])
-    return aggregates.lengthen(wide, ["year"], list(columns))
+        counts = {f"unique_{name}": None} | {f"unique_{name}_with_{label}": c for label, c in conditions.items()}
+        long.append(aggregates.lengthen(aggregates.distinct_counts(kept, ["year"], unit, counts), ["year"], list(counts)))
+    return reduce(DataFrame.unionByName, long)
 
 
 def agent_representation(df: DataFrame, agent: str, unit: str, condition: Column) -> DataFrame:

@@ -1,9 +1,17 @@
-"""Reading period files, sheets, lookups and nested responses."""
+"""Reading period files, sheets, lookups and nested responses.
+
+Cells may be quoted and then hold separators, doubled quotes and line breaks
+(RFC 4180). Reading line breaks means that a file is not split; give
+``multiLine=False`` for large files without them.
+"""
 
 from __future__ import annotations
 
+import csv
 import re
+from collections import defaultdict
 from collections.abc import Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: How quoted cells are written and read back.
+QUOTING = {"quote": '"', "escape": '"'}
+
+
+def _options(options: dict) -> dict:
+    return {"header": True, "multiLine": True, **QUOTING, **options}
+
+
 def read_delimited(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -23,15 +39,14 @@ def read_delimited(
     Without a schema the types are inferred, which reads the input twice; give
     one for large inputs. Blank cells read as null unless told otherwise.
     """
-    reader = spark.read.option("header", True).option("nullValue", "" if blank_as_null else "\u0000")
-    reader = reader.options(**options)
+    reader = spark.read.option("nullValue", "" if blank_as_null else "\u0000").options(**_options(options))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path if isinstance(path, str) else list(path))
 
 
 def read_with_types(spark: SparkSession, path: str, types: dict[str, str], **options) -> DataFrame:
     """All columns as text but the ones given a type; junk becomes null."""
-    df = spark.read.option("header", True).options(**options).csv(path)
+    df = spark.read.options(**_options(options)).csv(path)
     return df.select(
         *[F.col(c).try_cast(types[c]).alias(c) if c in types else F.col(c) for c in df.columns]
     )
@@ -46,6 +61,58 @@ def source_folder() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)/[^/]+$", 1)
 
 
+def _headers(spark: SparkSession, glob: str, separator: str) -> dict[tuple[str, ...], list[str]]:
+    """The files of a glob, folders opened, by their header row. Only first lines are read."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    pattern = hadoop.Path(glob)
+    system = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    open_, found = list(system.globStatus(pattern) or []), defaultdict(list)
+    while open_:
+        status = open_.pop()
+        place = status.getPath()
+        if place.getName().startswith(("_", ".")):
+            continue
+        if status.isDirectory():
+            open_.extend(system.listStatus(place))
+        elif status.getLen():
+            java = spark.sparkContext._jvm.java.io
+            lines = java.BufferedReader(java.InputStreamReader(system.open(place), "UTF-8"))
+            try:
+                first = lines.readLine()
+            finally:
+                lines.close()
+            found[tuple(next(csv.reader([first.removeprefix("\ufeff")], delimiter=separator)))].append(place.toString())
+    return dict(found)
+
+
+def read_by_header(spark: SparkSession, glob: str, schema: T.StructType | str, **options) -> list[DataFrame]:
+    """All files of a glob, one table for each distinct header, columns taken by name.
+
+    Each table has the columns of ``schema`` in their order and the file's metadata.
+    Columns beyond the schema are left out; a header without one of the schema's
+    raises. No file gives one empty table.
+    """
+    wanted = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    kinds = {f.name: f for f in wanted}
+    tables = []
+    for header, paths in sorted(_headers(spark, glob, options.get("sep", ",")).items()):
+        absent = [c for c in kinds if c not in header]
+        if absent:
+            raise ValueError(f"{paths[0]} has no column {', '.join(absent)}")
+        names = [c if c in kinds and c not in header[:i] else f"_unread_{i}" for i, c in enumerate(header)]
+        found = T.StructType([kinds.get(c) or T.StructField(c, T.StringType()) for c in names])
+        read = spark.read.options(**_options(options)).option("enforceSchema", True).schema(found).csv(paths)
+        tables.append(read.select(*kinds, F.col("_metadata").alias("_metadata")))
+    if not tables:
+        place = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("file_name", T.StringType())])
+        tables.append(spark.createDataFrame([], T.StructType([*wanted, T.StructField("_metadata", place)])))
+    return tables
+
+
+def _stacked(tables: list[DataFrame], *added: Column) -> DataFrame:
+    return reduce(DataFrame.unionByName, [t.select(*[c for c in t.columns if c != "_metadata"], *added) for t in tables])
+
+
 def period_names(pattern: str, months: Sequence[str], years: Sequence[int]) -> list[tuple[str, int, str]]:
     """(file name, year, month) for every year and month of a name pattern."""
     return [(pattern.format(mon=m, year=y), y, m) for y, m in product(years, months)]
@@ -54,21 +121,19 @@ def period_names(pattern: str, months: Sequence[str], years: Sequence[int]) -> l
 def read_periods(
     spark: SparkSession, glob: str, schema: T.StructType | str, year: str = "year", pattern: str = r"20[0-9]{2}", **options
 ) -> DataFrame:
-    """All files of a glob in one read, the year taken from each file's name,
+    """All files of a glob, columns by name, the year taken from each file's name,
     or from its folder's when the file's own has none."""
-    df = spark.read.option("header", True).options(**options).schema(schema).csv(glob)
     own = F.regexp_extract(source_file(), pattern, 0)
     outer = F.regexp_extract(source_folder(), pattern, 0)
     found = F.when(source_file().startswith("part-") | (own == ""), outer).otherwise(own)
-    return df.select("*", F.when(found != "", found).cast("int").alias(year))
+    return _stacked(read_by_header(spark, glob, schema, **options), F.when(found != "", found).cast("int").alias(year))
 
 
 def read_quarters(spark: SparkSession, glob: str, schema: T.StructType | str, **options) -> DataFrame:
-    """Files named ``..._<MON><YEAR>.<ext>``: adds YEAR and QUARTER."""
-    df = spark.read.option("header", True).options(**options).schema(schema).csv(glob)
-    name = source_file()
-    return df.select(
-        "*",
+    """Files named ``..._<MON><YEAR>.<ext>``, or in folders named so: adds YEAR and QUARTER."""
+    name = F.when(source_file().startswith("part-"), F.concat(source_folder(), F.lit("."))).otherwise(source_file())
+    return _stacked(
+        read_by_header(spark, glob, schema, **options),
         F.regexp_extract(name, r"_[A-Z]{3}([0-9]{4})\.", 1).try_cast("int").alias("YEAR"),
         F.regexp_extract(name, r"_([A-Z]{3})[0-9]{4}\.", 1).alias("QUARTER"),
     )
@@ -77,12 +142,11 @@ def read_quarters(spark: SparkSession, glob: str, schema: T.StructType | str, **
 def read_sheets(
     spark: SparkSession, glob: str, schema: T.StructType | str, index_pattern: str = r"^(Unnamed.*|_c0)$", **options
 ) -> DataFrame:
-    """A workbook exported as one file or folder per sheet: stacked, the sheet's
-    name kept, index columns dropped."""
-    df = spark.read.option("header", True).options(**options).schema(schema).csv(glob)
+    """A workbook exported as one file or folder per sheet: stacked by column name,
+    the sheet's name kept, index columns dropped."""
     own = F.regexp_extract(source_file(), r"^(.*)\.[^.]+$", 1)
     sheet = F.when(source_file().startswith("part-"), source_folder()).otherwise(own)
-    return without_index_columns(df.select("*", sheet.alias("sheet")), index_pattern)
+    return without_index_columns(_stacked(read_by_header(spark, glob, schema, **options), sheet.alias("sheet")), index_pattern)
 
 
 def without_index_columns(df: DataFrame, index_pattern: str = r"^(Unnamed.*|_c0)$") -> DataFrame:
@@ -126,11 +190,18 @@ def json_field(c: Column, path: str, kind: str) -> Column:
 
 
 def page_links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per anchor of a page: ``href`` and ``anchor`` text."""
-    anchor = r'(?s)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+    """One row per anchor of a page: ``href`` and ``anchor`` text.
+
+    Letter case of the markup does not matter; addresses may stand in double quotes, in
+    single ones or in none.
+    """
+    anchor = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a\s*>"""
+    address = F.transform(
+        F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(1)), lambda x: F.regexp_replace(x, r"""^["']|["']$""", "")
+    )
     pairs = F.arrays_zip(
-        F.regexp_extract_all(F.col(html), F.lit(anchor), 1).alias("href"),
-        F.regexp_extract_all(F.col(html), F.lit(anchor), 2).alias("anchor"),
+        address.alias("href"),
+        F.regexp_extract_all(F.col(html), F.lit(anchor), F.lit(2)).alias("anchor"),
     )
     others = [c for c in pages.columns if c != html]
     return pages.select(*others, F.inline(pairs).alias("href", "anchor"))

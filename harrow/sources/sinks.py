@@ -7,19 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Cells in quotes where needed, quotes doubled, white space at the ends kept.
+CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
 
 def write_table(df: DataFrame, path: str, form: str = "parquet", **options) -> None:
-    writer = df.write.mode("overwrite").options(**options)
+    """CSV has a header; quotes are doubled and blanks kept, so cells read back as written."""
     if form == "csv":
-        writer = writer.option("header", True)
-    writer.format(form).save(path)
+        options = CSV_OPTIONS | options
+    df.write.mode("overwrite").options(**options).format(form).save(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
 
 
 def has_output(spark: SparkSession, path: str) -> bool:
     """True when a finished write is at ``path`` (its success marker exists)."""
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker)
+    return _exists(spark, f"{path}/_SUCCESS")
 
 
 def stage(spark: SparkSession, path: str, build: Callable[[], DataFrame], reuse: bool = True) -> DataFrame:
@@ -43,10 +49,12 @@ def read_by_key(spark: SparkSession, path: str) -> DataFrame:
 
 def write_sides(df: DataFrame, matched: Column, path: str) -> dict[str, str]:
     """Matched and unmatched rows in two tables; an unknown match is unmatched."""
-    flag = F.coalesce(matched, F.lit(False))
-    paths = {"matched": f"{path}/matched", "unmatched": f"{path}/unmatched"}
-    write_table(df.where(flag), paths["matched"])
-    write_table(df.where(~flag), paths["unmatched"])
+    side = F.when(F.coalesce(matched, F.lit(False)), "matched").otherwise("unmatched")
+    df.withColumn("_side", side).write.mode("overwrite").partitionBy("_side").parquet(path)  # the input runs once
+    paths = {name: f"{path}/_side={name}" for name in ("matched", "unmatched")}
+    for place in paths.values():
+        if not _exists(df.sparkSession, place):
+            write_table(df.limit(0), place)  # a side without rows is a table too
     return paths
 
 

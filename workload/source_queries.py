@@ -22,14 +22,14 @@ def shared_path(t) -> str:
 
 @query(
     "SRC-01 SNK-01 SCH-13",
-    "SELECT c_custkey::DOUBLE AS c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
+    "SELECT doc_id::DOUBLE AS doc_id, text, lang, n_chars::DOUBLE AS n_chars FROM documents",
 )
 def csv_round_trip(t):
     path = shared_path(t)
-    customer = t.customer.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
-    sinks.write_table(customer, path, "csv")
+    texts = t.documents.select("doc_id", "text", "lang", "n_chars")  # texts hold quotes and line breaks
+    sinks.write_table(texts, path, "csv")
     words = {"string": "Char", "date": "Date"}
-    dictionary = [(name, words.get(kind, "Numeric")) for name, kind in customer.dtypes]
+    dictionary = [(name, words.get(kind, "Numeric")) for name, kind in texts.dtypes]
     return files.read_delimited(t.spark, path, schema.schema_from_dictionary(dictionary))
 
 
@@ -44,14 +44,39 @@ def typed_overrides(t):
     return files.read_with_types(t.spark, path, {"p_partkey": "bigint", "p_retailprice": "double", "junk": "bigint"})
 
 
-@query("SRC-03 SNK-03", "SELECT o_orderkey, o_totalprice, year(o_orderdate)::INTEGER AS year FROM orders")
+@query("SRC-03 SNK-03 PL-01 SCH-04", "SELECT o_orderkey, o_totalprice, year(o_orderdate)::INTEGER AS year FROM orders")
 def period_files(t):
+    """Yearly files whose headers differ in order and in names, to one table."""
     path = shared_path(t)
-    named = t.orders.select("o_orderkey", "o_totalprice", F.year("o_orderdate").alias("file"))
-    named.write.partitionBy("file").option("header", True).csv(path)
-    return files.read_periods(
-        t.spark, f"{path}/file=*", "o_orderkey bigint, o_totalprice double", pattern="(?:19|20)[0-9]{2}"
-    ).drop("file")
+    named = t.orders.withColumn("file", F.year("o_orderdate"))
+    headers = (
+        ("early", "file < 1998", (F.col("o_orderkey"), F.col("o_totalprice"))),
+        ("early", "file = 1998", (F.col("o_totalprice"), F.col("o_orderstatus"), F.col("o_orderkey"))),
+        ("late", "file > 1998", (F.col("o_totalprice").alias("price"), F.col("o_orderkey").alias("CASE_NO"))),
+    )
+    for folder, years, columns in headers:
+        written = named.where(years).select(*columns, "file").write.partitionBy("file").mode("append")
+        written.option("header", True).csv(f"{path}/{folder}")
+    years = "(?:19|20)[0-9]{2}"
+    periods = {
+        "early": files.read_periods(t.spark, f"{path}/early/file=*", "o_orderkey bigint, o_totalprice double", pattern=years),
+        "late": files.read_periods(t.spark, f"{path}/late/file=*", "CASE_NO bigint, price double", pattern=years),
+    }
+    renamed = schema.rename_periods(periods, {"CASE_NO": "o_orderkey"}, {"late": {"price": "o_totalprice"}})
+    return schema.stack_common(list(renamed.values()))
+
+
+@query(
+    "SRC-03",
+    """
+    SELECT o_orderkey, o_custkey, year(o_orderdate)::INTEGER AS "YEAR", upper(strftime(o_orderdate, '%b')) AS "QUARTER" FROM orders
+    """,
+)
+def quarter_files(t):
+    path = shared_path(t)
+    name = F.concat(F.lit("FACT_"), F.upper(F.date_format("o_orderdate", "MMM")), F.year("o_orderdate").cast("string"))
+    t.orders.select("o_custkey", "o_orderkey", name.alias("file")).write.partitionBy("file").option("header", True).csv(path)
+    return files.read_quarters(t.spark, f"{path}/file=*", "o_orderkey bigint, o_custkey bigint")
 
 
 @query("SRC-04 SCH-06", "SELECT o_orderkey, 'sheet=' || o_orderstatus AS sheet FROM orders")
