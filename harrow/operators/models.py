@@ -225,11 +225,15 @@ def score_histogram(predicted: DataFrame, bins: int = 20, score: str = "predicte
 
 
 def binned_trend(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
-    """Mean of ``y`` and ``x`` in equal-width bins of ``x``."""
-    span = df.agg(F.min(x).alias("_low"), F.max(x).alias("_high"))
-    width = (F.col("_high") - F.col("_low")) / bins
-    place = F.coalesce(F.least(F.floor(F.try_divide(F.col(x) - F.col("_low"), width)), F.lit(bins - 1)), F.lit(0))
-    placed = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).crossJoin(span)  # one row
+    """Mean of ``y`` and ``x`` in bins of ``x`` with equal numbers of rows, the first ones a row larger; ties go by ``y``."""
+    from harrow.operators.order import row_positions
+
+    known = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    ranked = row_positions(known, [F.col(x).asc(), F.col(y).asc()], out="_place")
+    placed = ranked.crossJoin(known.agg(F.count("*").alias("_n")))  # one row
+    at, least, more = F.col("_place") - 1, F.floor(F.col("_n") / bins), F.col("_n") % bins
+    wide = more * (least + 1)  # rows in the larger bins
+    place = F.when(at < wide, F.floor(at / (least + 1))).otherwise(more + F.floor(F.try_divide(at - wide, least)))
     return placed.groupBy(place.alias("bin")).agg(
         F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count("*").alias("n")
     )

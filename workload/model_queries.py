@@ -305,8 +305,8 @@ def score_histogram(t):
 @query(
     "ML-15",
     """
-    WITH s AS (SELECT min(l_quantity) AS a, (max(l_quantity) - min(l_quantity)) / 10 AS w FROM lineitem)
-    SELECT least(floor((l_quantity - a) / w), 9)::BIGINT AS bin, round(avg(l_quantity), 6) AS mean_x, round(avg(l_extendedprice), 4) AS mean_y, count(*) AS n FROM lineitem, s GROUP BY 1
+    WITH p AS (SELECT ntile(10) OVER (ORDER BY l_quantity, l_extendedprice) - 1 AS bin, l_quantity, l_extendedprice FROM lineitem)
+    SELECT bin, round(avg(l_quantity), 6) AS mean_x, round(avg(l_extendedprice), 4) AS mean_y, count(*) AS n FROM p GROUP BY 1
     """,
 )
 def binned_trend(t):
