@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from harrow.functions import flags, strings
 from harrow.operators import aggregates, features, groups, models
 from harrow.operators.joins import complete_counts
+from harrow.session import cut_lineage
 from workload.registry import query
 
 
@@ -161,7 +162,8 @@ def labelled(t):
     }
     df = t.documents.join(t.labels, "doc_id").withColumns(measures)
     scaled = df.withColumns({c: F.log1p(F.col(c).cast("double")) for c in INPUTS[:4]})
-    return features.assemble(scaled, INPUTS).select("doc_id", "source", "features", F.col("quality").alias("label"), "toxic")
+    narrow = features.assemble(scaled, INPUTS).select("doc_id", "source", "features", F.col("quality").alias("label"), "toxic")
+    return cut_lineage(narrow)  # texts are measured once, however often a fit reads the rows
 
 
 def train_and_test(t):
@@ -183,6 +185,35 @@ def tree_and_logit_predictions(t):
     return estimate_named(t, "dt_shallow", "dt_deep", "logit_l1_lowerpen", "logit_l2_lowerpen")["predictions"]
 
 
+@query(
+    "ML-01 ML-03 ML-05 ML-06 ML-08 PL-09",
+    """
+    WITH g AS (SELECT source, row_number() OVER (ORDER BY md5(source || ':42'), source) <= floor((SELECT count(DISTINCT source) FROM documents JOIN labels USING (doc_id)) * 0.8) AS is_train
+      FROM (SELECT DISTINCT source FROM documents JOIN labels USING (doc_id))),
+    t AS (SELECT count(*) AS n, sum(quality)::BIGINT AS n_actual FROM documents JOIN labels USING (doc_id) JOIN g USING (source) WHERE NOT is_train)
+    SELECT model, n, n AS n_documents, n_actual, 0::BIGINT AS n_off_sums, 0::BIGINT AS n_off_sides, true AS scores_follow
+    FROM t, (VALUES ('dt_shallow'), ('logit_l2_lowerpen'), ('gb_shallow')) AS m(model)
+    """,
+)
+def prediction_checks(t):
+    """What must hold of predictions exactly: every test row once, probabilities that add up, the likelier side, scores that follow."""
+    found = estimate_named(t, "dt_shallow", "logit_l2_lowerpen", "gb_shallow")
+    likelier = (F.col("predicted_cont_true") > F.col("predicted_cont_false")).cast("double")
+    even = F.col("predicted_cont_true") == F.col("predicted_cont_false")
+    checks = found["predictions"].groupBy("model").agg(
+        F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_documents"), F.sum("actual").cast("long").alias("n_actual"),
+        F.count_if(F.abs(F.col("predicted_cont_true") + F.col("predicted_cont_false") - 1) > 1e-9).alias("n_off_sums"),
+        F.count_if(~even & (F.col("predicted") != likelier)).alias("n_off_sides"),
+    )
+    cells = found["confusion"].groupBy("model").agg(
+        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n"))).alias("right"), F.sum("n").alias("all")
+    )
+    follow = found["evals"].join(cells, "model").select(
+        "model", (F.abs(F.col("accuracy") - F.coalesce("right", F.lit(0)) / F.col("all")) < 1e-12).alias("scores_follow")
+    )
+    return checks.join(follow, "model")
+
+
 @query("ML-02 ML-06")
 def forest_scores(t):
     return estimate_named(t, "random_forest_10020")["evals"]

@@ -126,6 +126,25 @@ def matched_and_unmatched_tables(t):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("SNK-04 ML-10", "SELECT count(*) AS n, 0::BIGINT AS n_changed, 1.0::DOUBLE AS importance FROM documents JOIN labels USING (doc_id)")
+def reloaded_model_agrees(t):
+    """A model read back predicts what the fitted one does; a tree's importances add up to 1."""
+    from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
+
+    from harrow.operators.models import importances, predictions
+
+    df = labelled(t).select("doc_id", "features", "label")
+    path = shared_path(t)
+    fitted = DecisionTreeClassifier(maxDepth=5, seed=0).fit(df)
+    sinks.save_model(fitted, path)
+    again = sinks.load_model(DecisionTreeClassificationModel, path)
+    a = predictions(fitted, "fitted", df, ["doc_id"]).select("doc_id", F.col("predicted_cont_true").alias("a"))
+    b = predictions(again, "reloaded", df, ["doc_id"]).select("doc_id", F.col("predicted_cont_true").alias("b"))
+    same = a.join(b, "doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("a") != F.col("b")).alias("n_changed"))
+    whole = importances(again, "reloaded", INPUTS, df).agg(F.round(F.sum("value"), 9).alias("importance"))
+    return same.crossJoin(whole)  # one row each
+
+
 @query("SNK-04 ML-10")
 def reloaded_model(t):
     from pyspark.ml.classification import DecisionTreeClassificationModel, DecisionTreeClassifier
