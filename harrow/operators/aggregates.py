@@ -271,7 +271,13 @@ def first_of_duplicates(df: DataFrame, subset: Sequence[str], order: Sequence[Co
 
 
 def all_duplicates(df: DataFrame, subset: Sequence[str]) -> DataFrame:
-    """Every row whose subset occurs more than once."""
+    """Every row whose subset occurs more than once.
+
+    Hashes are counted first, so only rows whose hash recurs are compared, and moved, whole.
+    """
+    hashed = df.withColumn("_hash", F.xxhash64(*subset))
+    again = hashed.groupBy("_hash").agg(F.count("*").alias("_n")).where("_n > 1").select("_hash")
+    df = hashed.join(again, "_hash", "left_semi").drop("_hash")
     repeated = df.groupBy(*[F.col(c).alias(f"_k_{c}") for c in subset]).agg(F.count("*").alias("_n"))
     repeated = repeated.where("_n > 1")
     match = F.lit(True)

@@ -14,6 +14,7 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
@@ -195,12 +196,23 @@ def nonzero_counts(table: DataFrame) -> DataFrame:
     return table.groupBy("model").agg(F.count_if(F.col("value") != 0).alias("nonzero"), F.count("*").alias("features"))
 
 
-def paired_logits(df: DataFrame, features: Sequence[str], labels: tuple[str, str]) -> DataFrame:
-    """Two unpenalised logits on the same features, coefficients in long form."""
+def paired_logits(df: DataFrame, features: Sequence[str], labels: tuple[str, str], penalty: float = 0.01) -> DataFrame:
+    """Two unpenalised logits on the same features, coefficients in long form.
+
+    The features are those to which an L1-penalised logit of either label gives a
+    weight; all of them if it gives none.
+    """
+    kept: set[int] = set()
+    for label in labels:
+        lasso = LogisticRegression(labelCol=label, regParam=penalty, elasticNetParam=1.0, maxIter=200).fit(df)
+        kept |= {i for i, v in enumerate(lasso.coefficients.toArray()) if v}
+    places = sorted(kept) or list(range(len(features)))
+    sliced = VectorSlicer(inputCol="features", outputCol="_kept", indices=places).transform(df)
+    sliced = sliced.drop("features").withColumnRenamed("_kept", "features")
     parts = []
     for label in labels:
-        model = LogisticRegression(labelCol=label, regParam=0.0, maxIter=200).fit(df)
-        parts.append(importances(model, label, features, df))
+        model = LogisticRegression(labelCol=label, regParam=0.0, maxIter=200).fit(sliced)
+        parts.append(importances(model, label, [features[i] for i in places], df))
     return parts[0].unionByName(parts[1])
 
 
