@@ -23,6 +23,7 @@ STATES = {
     "WV": "West Virginia", "WI": "Wisconsin", "WY": "Wyoming",
 }
 
+# Company forms that lose their dot.
 COMPANY_FORMS = ("LLC", "CO", "INC")
 
 

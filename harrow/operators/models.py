@@ -35,6 +35,7 @@ def penalised_logit(penalty: str, c: float, rows: int, **options) -> LogisticReg
 
 def estimators(rows: int, seed: int = 0) -> dict[str, object]:
     """The named classifiers of the study; ``rows`` is the size of the training table."""
+    # fixed values: names that result rows carry, and their settings
     return {
         "dt_shallow": DecisionTreeClassifier(maxDepth=5, seed=seed),
         "dt_deep": DecisionTreeClassifier(maxDepth=DEEPEST, seed=seed),

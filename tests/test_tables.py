@@ -226,12 +226,43 @@ def test_geocode_null_on_any_miss(spark):
 
 
 def test_links(spark):
-    html = '<p><a class="x" href="/a.xlsx">H-2A data</a> <A HREF="no">no</A><a href="/b.pdf">H-2A Addendum</a></p>'
+    html = (
+        '<p><a class="x" href="/a.xlsx">Plum table</a> <A HREF=\'/c.txt\' id=1>Pear\nlist</A><a href="/b.pdf">Plum annex</a>'
+        "<a name=top>none</a><a data-href='/no' href = /d>Fig</a></p>"
+    )
     links = files.page_links(spark.createDataFrame([("u", html)], "url string, html string"))
-    picked = files.select_links(links, anchor_has="H-2A", anchor_lacks="Addendum", base="https://x")
+    assert rows(links, "href", "anchor") == [("/a.xlsx", "Plum table"), ("/b.pdf", "Plum annex"), ("/c.txt", "Pear\nlist"), ("/d", "Fig")]
+    picked = files.select_links(links, anchor_has="Plum", anchor_lacks="annex", base="https://x")
     assert one(picked.select("link")) == ["https://x/a.xlsx"]
 
 
+def test_columns_go_by_each_files_header(spark, tmp_path):
+    (tmp_path / "list_2010.csv").write_text("case,name,state\n1,Ann,TX\n")
+    (tmp_path / "list_2011.csv").write_text("state,extra,case,name\nCA,x,2,Bob\n")
+    found = files.read_periods(spark, str(tmp_path / "list_*.csv"), "case int, name string, state string")
+    assert rows(found) == [(1, "Ann", "TX", 2010), (2, "Bob", "CA", 2011)]
+    (tmp_path / "list_2012.csv").write_text("case,who,state\n3,Cy,NM\n")
+    with pytest.raises(ValueError, match="list_2012.csv has no column name"):
+        files.read_periods(spark, str(tmp_path / "list_*.csv"), "case int, name string, state string")
+    assert files.read_periods(spark, str(tmp_path / "none_*.csv"), "case int").collect() == []
+
+
+def test_cells_with_quotes_and_line_breaks_read_back(spark, tmp_path):
+    cells = ['he said ""go"", then "left"', "two\nlines", " spaces ", "a,b", 'back\\slash "q"', None, "plain"]
+    df = spark.createDataFrame(list(enumerate(cells)), "i int, cell string")
+    sinks.write_table(df, str(tmp_path / "out"), "csv")
+    assert rows(files.read_delimited(spark, str(tmp_path / "out"), "i int, cell string")) == list(enumerate(cells))
+    (tmp_path / "own.csv").write_text('i,cell\n1,"he said ""go"", then left"\n2,"a\nb"\n')
+    assert rows(files.read_delimited(spark, str(tmp_path / "own.csv"), "i int, cell string")) == [(1, 'he said "go", then left'), (2, "a\nb")]
+
+
+def test_a_side_without_rows_is_a_table(spark, tmp_path):
+    df = spark.createDataFrame([(1,), (2,)], "i int")
+    paths = sinks.write_sides(df, F.col("i") > 0, str(tmp_path / "sides"))
+    assert spark.read.parquet(paths["matched"]).count() == 2
+    assert spark.read.parquet(paths["unmatched"]).count() == 0
+
+
 def test_tidy_list_drops_blank_names(spark):
     from harrow.functions.dates import LONG_DATE, parse_date
 
