@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Pre-tokens, and parts of them, that a worker remembers; characters of a text that are split at once.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+REMEMBERED, AT_ONCE = 200_000, 1 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
