@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from harrow.llm.common import let, running
 
-#: Characters before a span in which context words count.
+#: Characters before and behind a span in which context words count.
 REACH = 40
-#: Added to the score of a span with a context word before it.
+#: Added to the score of a span with a context word beside it.
 RAISE = 0.4
 #: Spans of at least this score are kept.
 KEEP = 0.5
@@ -24,7 +24,9 @@ class Kind:
     ``pattern`` finds leftmost candidates that do not overlap; it is possessive where a
     text could make it backtrack or recurse, and starts only where a run of its
     characters starts, so time grows with the text's length. ``score`` is what a
-    confirmed candidate starts from; ``context`` are words that raise it.
+    confirmed candidate starts from; ``context`` are words that raise it. An account
+    number's pattern takes its first four characters only and looks ahead at the rest, as
+    what follows may be words in capitals or another account number.
     """
 
     name: str
@@ -39,10 +41,10 @@ KINDS = (
     Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}+", 0.6, "ip|address|host|server"),
     Kind("card", r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){11,18}+(?![\x20-]?[0-9])", 0.8, "card|visa|credit|pay"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", 0.7, "phone|tel|call|fax|mobile"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", 0.9, "iban|account|bank|konto"),
+    Kind("iban", r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?))[A-Z]{2}[0-9]{2}", 0.9, "iban|account|bank|konto"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", 0.3, "ssn|social|security|id|tax"),
     Kind("local_phone", r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])", 0.3, "phone|tel|telephone|call|fax|mobile"),
-    Kind("secret", r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|(?=[A-Za-z_]{0,40}+[0-9])[A-Za-z0-9_]{16,128})(?![A-Za-z0-9_])", 0.3, "password|passwd|token|secret|api.?key|akia"),
+    Kind("secret", r"(?<![A-Za-z0-9_])(?:AKIA[0-9A-Z]{16}|(?=[A-Za-z_]*+[0-9])[A-Za-z0-9_]{16,}+)(?![A-Za-z0-9_])", 0.3, "password|passwd|token|secret|api.?key|akia"),
 )
 BASE = KINDS[:4]
 
@@ -75,6 +77,23 @@ def mod_97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda rest, c: F.when(c == "", rest).otherwise(step(rest, c))) == 1
 
 
+def account_length(found: Column) -> Column:
+    """The beginning of a candidate that ends where a group ends, has 15 to 34 characters and passes; null if none.
+
+    That of the country's length goes before the longest.
+    """
+    country = F.substring(found, 1, 2)
+    usual = F.coalesce(*[F.when(country.isin(names), F.lit(size)) for size, names in LENGTHS.items()])
+    length = lambda e: F.length(F.replace(F.substring(found, F.lit(1), e), F.lit(" "), F.lit("")))
+
+    def passes(e):
+        own = F.substring(found, F.lit(1), e)
+        return F.substring(found, e, F.lit(1)).rlike("[A-Z0-9]") & F.substring(found, e + 1, F.lit(1)).isin("", " ") & length(e).between(15, 34) & mod_97(own)
+
+    ends = F.filter(F.sequence(F.lit(15), F.length(found)), passes)
+    return let(ends, lambda ends: F.coalesce(F.array_max(F.filter(ends, lambda e: length(e) == usual)), F.array_max(ends)))
+
+
 def confirmed(kind: Kind, found: Column) -> Column:
     """Whether a candidate passes its kind's validator."""
     if kind.name == "ip":
@@ -83,11 +102,18 @@ def confirmed(kind: Kind, found: Column) -> Column:
         return luhn(_digits(found))
     if kind.name == "phone":
         return F.length(_digits(found)).between(9, 15)
-    if kind.name == "iban":
-        return mod_97(found)
     return F.lit(True)
 
 
+#: Characters of account numbers by country.
+LENGTHS = {
+    size: names.split() for size, names in {
+        15: "NO", 16: "BE", 18: "DK FK FO FI GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+        23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+}
+
 SPAN = "struct<start:int,order:int,kind:string,end:int,score:double>"
 
 
@@ -97,10 +123,11 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
     Splitting gives the stretches between candidates, so lengths summed up give places.
     """
     none = F.array().cast(f"array<{SPAN}>")
-    pairs = F.arrays_zip(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)))
+    account = kind.name == "iban"
+    pairs = F.arrays_zip(F.split(text, kind.pattern, -1), F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(1 if account else 0)))
     found = F.transform(
         F.filter(pairs, lambda p: p["1"].isNotNull()),
-        lambda p: F.struct(F.length(p["0"]).alias("gap"), F.length(p["1"]).alias("size"), p["1"].alias("hit")),
+        lambda p: F.struct(F.length(p["0"]).alias("gap"), (F.lit(4) if account else F.length(p["1"])).alias("size"), p["1"].alias("hit")),
     )
 
     def placed(p):
@@ -110,12 +137,15 @@ def spans_of(text: Column, kind: Kind, order: int) -> Column:
         ))
 
     passed = F.filter(let(found, placed), lambda s: confirmed(kind, s["hit"]))
+    if account:
+        ended = F.transform(passed, lambda s: F.struct(s["start"].alias("start"), (s["start"] + account_length(s["hit"])).alias("end"), s["hit"].alias("hit")))
+        passed = F.filter(ended, lambda s: s["end"].isNotNull())
 
     def scored(s):
         score = F.lit(kind.score)
         if kind.context:
             first = F.greatest(s["start"] - REACH, F.lit(0))
-            near = F.substring(text, first + 1, s["start"] - first)
+            near = F.concat(F.substring(text, first + 1, s["start"] - first), F.lit("\n"), F.substring(text, s["end"] + 1, F.lit(REACH)))
             words = rf"(?i)(?<![a-z])(?:{kind.context})(?![a-z])"
             hinted = near.rlike(words) | s["hit"].rlike("^(?:AKIA)") if kind.name == "secret" else near.rlike(words)
             score = F.when(hinted, F.least(F.lit(1.0), F.lit(kind.score + RAISE))).otherwise(score)

@@ -93,3 +93,22 @@ def test_query_digests(spark, texts, tmp_path):
         joined = ",".join(f"{k}:{a}:{b}" for a, _, k, b in spans)
         assert r["base_sha256"] == sha256(joined.encode()).hexdigest()
         assert (r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == tuple(sum(s[1] == i for s in spans) for i in range(4))
+
+
+IBAN = "DE89 3704 0044 0532 0130 00"
+
+
+@pytest.mark.parametrize("text,expected", [
+    ("DE89370400440532013000 Please", [("iban", "DE89370400440532013000")]),
+    (f"to {IBAN} BIC COBADEFF", [("iban", IBAN)]),
+    (f"{IBAN} 2 GB82 WEST 1234 5698 7654 32 AND", [("iban", IBAN), ("iban", "GB82 WEST 1234 5698 7654 32")]),
+    ("AB12 GB82WEST12345698765432", [("iban", "GB82WEST12345698765432")]),
+    ("DE89370400440532013000x", []),
+    ("DE89370400440532013001 Please", []),
+    ("123-45-6789 is my ssn", [("national_id", "123-45-6789")]),
+    ("(847) 555-7819 (mobile)", [("local_phone", "(847) 555-7819")]),
+    (f"token {'a1' * 100}", [("secret", "a1" * 100)]),
+    (f"token {'a' * 60}{'7' * 60}", [("secret", "a" * 60 + "7" * 60)]),
+])
+def test_what_follows_an_account_and_context_behind(spark, text, expected):
+    assert kinds(spark, text) == expected
