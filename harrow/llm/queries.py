@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import bpe, chat, merkle, mixing, passages, pii, quality_classifier, quality_rules, sharding, simhash
+from harrow.llm import bpe, chat, decontamination, merkle, mixing, passages, pii, quality_classifier, quality_rules, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -204,6 +204,42 @@ def op9_repeated_passages(spark: SparkSession, folder: str) -> DataFrame:
     return passages.repeated_passages(table(spark, folder, "documents"))
 
 
+# 11 Benchmark decontamination
+
+
+@query
+def op11_benchmark_passages(spark: SparkSession, folder: str) -> DataFrame:
+    found = decontamination.find_benchmark(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+SQL["op11_benchmark_passages"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM documents),
+items AS (
+  SELECT coalesce(item_id::VARCHAR, '') AS item, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM benchmark),
+starts AS (SELECT item, words, unnest(range(greatest(len(words) - 9, 1))) AS i FROM items WHERE len(words) > 0),
+windows AS (SELECT DISTINCT item, array_to_string(words[i + 1:i + 10], ' ') AS said, least(len(words), 10) AS n FROM starts),
+places AS (
+  SELECT r, n, words, unnest(range(greatest(len(words) - n + 1, 0))) AS i
+  FROM docs, (SELECT DISTINCT n FROM windows)),
+said AS (SELECT r, i, n, array_to_string(words[i + 1:i + n], ' ') AS said FROM places),
+found AS (SELECT r, i, n, item FROM said JOIN windows USING (n, said)),
+hit AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT r, i, n FROM found)) GROUP BY r),
+named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM found) GROUP BY r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)
+"""
+
+
 # The pipeline
 
 
