@@ -16,6 +16,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Item windows that are broadcast at most, about 200 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
+#: What a document's extra row is joined by; a shingle of this hash is told apart by its place.
+MARK = 1
 
 
 def words_of(text: Column) -> Column:
@@ -121,10 +123,17 @@ def find_benchmark(
         before = before + count
     same = lambda words, start: F.slice(words, start + 1, F.col("n")) == F.col("wanted")
     if few:
-        met = shingled.select("id", "print", "words", F.posexplode(hashes).alias("place", "hash")).join(small(keys), "hash")
+        # one row more for each document, which meets the key without a window and brings the number of words
+        mark = keys.sparkSession.range(1).select(F.lit(MARK).alias("hash"), *[F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in keys.columns[1:]])
+        marked = F.concat(F.array(F.lit(MARK)), hashes)
+        met = shingled.select("id", "print", "words", F.posexplode(marked).alias("place", "hash")).withColumn("place", F.col("place") - 1)
+        met = met.join(small(keys.unionByName(mark)), "hash")
         start = here - F.col("offset")
-        found = met.where((length == F.col("length")) & (start >= 0) & (start + F.col("n") <= size)).where(same(F.col("words"), start))
-        found = found.select("id", "print", start.alias("start"), "n", "window")
+        inside = (length == F.col("length")) & (start >= 0) & (start + F.col("n") <= size) & same(F.col("words"), start)
+        met = met.where(F.when(place < 0, F.col("window").isNull()).otherwise(F.col("window").isNotNull() & inside))
+        met = cut_lineage(met.select("id", "print", F.when(place >= 0, start).alias("start"), "n", "window", F.when(place < 0, size).alias("n_words")))
+        counted = met.where(F.col("n_words").isNotNull()).select("id", "print", F.col("n_words").cast("long").alias("n_words"))
+        found = met.where(F.col("n_words").isNull()).drop("n_words").distinct()
     else:
         places = shingled.select("id", "print", "words", F.posexplode(hashes).alias("place", "hash"))
         places = places.select("id", "print", "hash", size.alias("size"), here.alias("here"), length.alias("own"))
@@ -132,8 +141,8 @@ def find_benchmark(
         met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size"))).select("id", "print", "start", "n", "wanted", "window")
         whole = shingled.select(F.col("id").alias("id0"), F.col("print").alias("print0"), "words").dropDuplicates(["id0", "print0"])
         found = met.join(whole, (F.col("print") == F.col("print0")) & F.col("id").eqNullSafe(F.col("id0"))).where(same(F.col("words"), F.col("start")))
-        found = found.select("id", "print", "start", "n", "window")
-    found = cut_lineage(found.distinct())
+        found = cut_lineage(found.select("id", "print", "start", "n", "window").distinct())
+        counted = base.select("id", "print", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
 
     widest = found.groupBy("id", "print", "start").agg(F.max("n").alias("n"))
     # a document has at most as many starts as words
@@ -144,7 +153,6 @@ def find_benchmark(
     both = hit.join(named, (hit["print"] == named["print"]) & hit["id"].eqNullSafe(named["id"])).select(
         hit["id"].alias("id1"), hit["print"].alias("print1"), "spans", "items"
     )
-    counted = base.select("id", "print", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
     joined = counted.join(both, (F.col("print") == F.col("print1")) & F.col("id").eqNullSafe(F.col("id1")), "left")
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["end"] - s["start"])
     return joined.select(
