@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harrow.llm import alignment, bpe, chat, decontamination, merkle, mixing, passages, pii, quality_classifier, quality_rules, sharding, simhash
+from harrow.llm import (
+    alignment,
+    bpe,
+    chat,
+    decontamination,
+    merkle,
+    mixing,
+    passages,
+    pii,
+    quality_classifier,
+    quality_rules,
+    repair,
+    sharding,
+    simhash,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -255,6 +269,73 @@ def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# 13 Conversation structure repair
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repair_conversations(repair.damaged(table(spark, folder, "conversations")), lost="lost")
+
+
+SQL["op13_conversation_repair"] = r"""
+WITH RECURSIVE
+named AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS bytes
+  FROM conversations),
+picked AS (
+  SELECT *, xor(4294967295, list_reduce(bytes, lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)), xor(c, b)), 4294967295)) % 20 AS pick
+  FROM named),
+changed AS (
+  SELECT conv_id, turn, CASE WHEN pick = 4 THEN 'user' ELSE role END AS role,
+    CASE pick WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM picked, range(CASE pick WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, substr(text, 1, 64), sha256(text)) AS i FROM changed),
+judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault,
+    substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS earlier
+  FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+    count(*) FILTER (earlier IS NOT NULL AND earlier || initial NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+-- the cheapest way to each state (nothing, system, user, assistant) before row i, with up to two rows inserted
+ways AS (
+  SELECT conv_id, 1 AS i, s.state, s.way FROM counts, (VALUES
+    ('^', {'cost': 0, 'audit': '', 'said': []::VARCHAR[]}), ('u', {'cost': 2, 'audit': 'I', 'said': ['user:']}),
+    ('a', {'cost': 4, 'audit': 'II', 'said': ['user:', 'assistant:']})) s(state, way)
+  UNION ALL
+  SELECT conv_id, i, next AS state, min({'cost': cost, 'audit': audit, 'said': said}) AS way FROM (
+    SELECT m.conv_id, m.i + 1 AS i, t.next, m.cost + t.price AS cost, m.audit || t.letters AS audit, m.said || t.more AS said
+    FROM (
+      SELECT w.conv_id, w.i, e.next AS state, w.way.cost + e.price AS cost, w.way.audit || e.letter AS audit, w.way.said || e.more AS said
+      FROM ways w JOIN judged r ON w.conv_id IS NOT DISTINCT FROM r.conv_id AND w.i = r.i, LATERAL (
+        SELECT w.state AS next, 3 AS price, 'D' AS letter, []::VARCHAR[] AS more
+        UNION ALL SELECT r.initial, (r.fault = 3)::INT, 'K', [r.role || ':' || r.text]
+          WHERE r.fault IN (0, 3) AND w.state || r.initial IN ('^s', '^u', 'su', 'ua', 'au')
+        UNION ALL SELECT CASE WHEN w.state = 'u' THEN 'a' ELSE 'u' END, 2 + (r.fault = 3)::INT, 'R',
+            [CASE WHEN w.state = 'u' THEN 'assistant:' ELSE 'user:' END || r.text]
+          WHERE r.fault IN (0, 3)) e) m, LATERAL (
+      SELECT m.state AS next, 0 AS price, '' AS letters, []::VARCHAR[] AS more
+      UNION ALL SELECT CASE WHEN m.state = 'u' THEN 'a' ELSE 'u' END, 2, 'I', [CASE WHEN m.state = 'u' THEN 'assistant:' ELSE 'user:' END]
+      UNION ALL SELECT CASE WHEN m.state = 'u' THEN 'u' ELSE 'a' END, 4, 'II',
+          CASE WHEN m.state = 'u' THEN ['assistant:', 'user:'] ELSE ['user:', 'assistant:'] END) t)
+  GROUP BY conv_id, i, next),
+ended AS (
+  SELECT c.conv_id, min(w.way) AS way FROM counts c JOIN ways w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.n + 1
+  WHERE w.state IN ('^', 'a') GROUP BY c.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(way.cost, 0)::BIGINT AS cost, coalesce(way.audit, '') AS audit,
+  sha256(coalesce(array_to_string(way.said, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
+
 # The pipeline
 
 
