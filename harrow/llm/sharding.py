@@ -12,6 +12,8 @@ from harrow.session import cut_lineage
 
 #: Bytes that a document takes besides its text.
 OVERHEAD = 16
+#: Parts whose sums are added up in one window.
+PARTS_IN_BLOCK = 4096
 
 
 def shard_documents(
@@ -35,7 +37,8 @@ def shard_documents(
     columns are not read, so their names cannot clash.
 
     A group of any size spreads over parts of about ``rows_per_part`` rows; the
-    driver sees at most ``shards`` groups and ``cells`` summaries a shard and round.
+    driver sees at most ``shards`` groups and, each round, ``cells`` summaries a shard, or
+    8 times ``shards`` if that is more.
     """
     text = text_or_empty(text_column)
     rows = cut_lineage(
@@ -96,12 +99,16 @@ def _prefix_sums(groups: DataFrame, alone: list[str], parts: int) -> DataFrame:
         F.when(counted, F.col("bytes")).otherwise(0).alias("bytes"),
         F.when(counted, F.col("rows")).otherwise(0).alias("rows"),
     )
-    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
-    totals = weighed.groupBy("part").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r")).select(
-        "part",
-        F.coalesce(F.sum("b").over(earlier), F.lit(0)).alias("part_bytes"),
-        F.coalesce(F.sum("r").over(earlier), F.lit(0)).alias("part_rows"),
-    )
+    # sums before a part: those before its block of parts, of which there are few, and those inside
+    block = (F.col("part") / PARTS_IN_BLOCK).cast("int")
+    totals = weighed.groupBy("part").agg(F.sum("bytes").alias("b"), F.sum("rows").alias("r")).withColumn("block", block)
+    blocks = totals.groupBy("block").agg(F.sum("b").alias("bb"), F.sum("r").alias("rr"))
+    earlier = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("block").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    none = F.lit(0)
+    blocks = blocks.select("block", *[F.coalesce(F.sum(c).over(earlier), none).alias(c) for c in ("bb", "rr")])
+    totals = totals.select("part", "block", *[F.coalesce(F.sum(c).over(inside), none).alias(c) for c in ("b", "r")]).join(blocks, "block")
+    totals = totals.select("part", (F.col("b") + F.col("bb")).alias("part_bytes"), (F.col("r") + F.col("rr")).alias("part_rows"))
     here = Window.partitionBy("part").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
     return cut_lineage(
         weighed.join(totals, "part").select(
@@ -118,13 +125,20 @@ def smallest_capacity_cuts(prefix: DataFrame, shards: int, cells: int = 512, col
     ``prefix`` holds the inclusive prefix sums, which stay distributed. Each round
     summarises the stretches of the sums in which a cut may lie by the least and
     greatest sum in equal cells. The greedy check run on the summary brackets every
-    cut; capacities certain either way bound the binary search, and the stretches
-    shrink by about the number of cells until the check is certain for all of them.
-    Of the cuts that keep to the capacity, those up to equal shares are taken.
+    cut, and capacities certain either way bound the binary search. The next round's
+    stretches lie between the brackets. Of the cuts that keep to the capacity, those up
+    to equal shares are taken.
+
+    All stretches of a round share ``shards`` times ``cells`` cells of one width w, with
+    ``cells`` at least 8 times ``shards``. A bracket is wrong by less than w a shard, and
+    the capacity by a few w, so the stretches' length falls by a factor each round, to
+    about a third at worst, until cells hold single sums; if it did not, that is an
+    error. The driver holds two numbers for each cell with a sum in it.
     """
     top = prefix.agg(F.max(column)).first()[0] or 0
     if top == 0 or shards == 1:
         return [top] * (shards - 1)
+    cells = shards * max(cells, 8 * shards)
     infeasible, feasible = (top - 1) // shards, top
     spans = [(0, top)]
     while True:
@@ -136,14 +150,26 @@ def smallest_capacity_cuts(prefix: DataFrame, shards: int, cells: int = 512, col
         if high == low + 1 and all(a == b for a, b in chain):
             break
         infeasible, feasible = low, high
-        spans = _merged([(a, b) for (a, _), (_, b) in zip(known.greedy(low + 1, shards), chain, strict=True)])
+        spans = _narrowed(spans, [(a, b) for (a, _), (_, b) in zip(known.greedy(low + 1, shards), chain, strict=True)])
     spans = [(0, top)]
     while True:
         known = Summary(prefix, spans, cells, column)
         cuts = known.level(high, shards, top)
         if all(a == b for a, b in cuts):
             return [a for a, _ in cuts[:-1]]
-        spans = _merged([*known.needed, *cuts])
+        spans = _narrowed(spans, [*known.needed, *cuts])
+
+
+def _narrowed(before: list[tuple[int, int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The new stretches, which must be shorter together than those before."""
+    after = _merged(spans)
+    if _length(after) >= _length(before):
+        raise RuntimeError("the search for cuts does not narrow")
+    return after
+
+
+def _length(spans: list[tuple[int, int]]) -> int:
+    return sum(b - a + 1 for a, b in spans)
 
 
 def _search(low: int, high: int, fails) -> int:
@@ -168,18 +194,21 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 class Summary:
-    """Least and greatest prefix sum of every non-empty cell of the spans; answers come as bounds."""
+    """Least and greatest prefix sum of every non-empty cell of the disjoint spans; answers come as bounds.
+
+    All spans are cut into cells of one width, so that about ``cells`` cover them together.
+    """
 
     def __init__(self, prefix: DataFrame, spans: list[tuple[int, int]], cells: int, column: str):
         v = F.col(column)
+        width = max(1, -(-_length(spans) // cells))
         # a few spans for each shard at most
         table = F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a, b in spans])
         within = F.filter(table, lambda s: (s["a"] <= v) & (v <= s["b"]))
         found = (
             prefix.select(v.alias("v"), F.get(within, F.lit(0)).alias("span"))
             .where(F.col("span").isNotNull())
-            .select("v", F.col("span.a").alias("a"), F.greatest(F.lit(1), F.ceil((F.col("span.b") - F.col("span.a") + 1) / cells)).alias("width"))
-            .groupBy("a", F.floor((F.col("v") - F.col("a")) / F.col("width")).alias("cell"))
+            .groupBy(F.col("span.a").alias("a"), F.expr(f"(v - span.a) div {width}").alias("cell"))
             .agg(F.min("v").alias("least"), F.max("v").alias("most"))
             .collect()
         )

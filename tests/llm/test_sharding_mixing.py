@@ -1,6 +1,7 @@
 import random
 from collections import Counter, defaultdict
-from hashlib import md5
+from hashlib import md5, sha256
+from itertools import combinations
 from math import floor
 import re
 import zlib
@@ -14,7 +15,7 @@ from .conftest import document_rows, records
 
 
 def least_capacity(sizes, shards):
-    """The smallest greatest shard, by trying every capacity."""
+    """The smallest greatest shard, by halving between capacities that fail and that do."""
     def count(capacity):
         used, held = 1, 0
         for s in sizes:
@@ -23,13 +24,34 @@ def least_capacity(sizes, shards):
             held += s
         return used
 
-    return next(c for c in range(max(sizes), sum(sizes) + 1) if count(c) <= shards)
-
-
-@pytest.mark.parametrize("shards,cells", [(1, 4), (3, 2), (7, 3), (40, 512)])
-def test_cuts_have_the_least_capacity(spark, shards, cells):
-    rng = random.Random(shards)
-    sizes = [rng.choice([1, 2, 17, 300]) for _ in range(90)]
+    low, high = max(sizes) - 1, sum(sizes)
+    while high - low > 1:
+        middle = (low + high) // 2
+        low, high = (low, middle) if count(middle) <= shards else (middle, high)
+    return high
+
+
+def two_valued(n):
+    rng = random.Random(n)
+    return [rng.choice([16, 5000]) for _ in range(n)]
+
+
+@pytest.mark.parametrize(
+    "sizes,shards,cells",
+    [
+        ([random.Random(i).choice([1, 2, 17, 300]) for i in range(90)], 1, 4),
+        ([random.Random(i).choice([1, 2, 17, 300]) for i in range(90)], 3, 2),
+        ([random.Random(i).choice([1, 2, 17, 300]) for i in range(90)], 7, 3),
+        (two_valued(200), 40, 512),
+        (two_valued(3000), 100, 2),
+        ([int(random.Random(i).lognormvariate(7, 1.5)) + 16 for i in range(20_000)], 64, 2),
+        ([5, 9, 2], 40, 512),
+        ([7], 5, 2),
+        ([10**12 * (i % 7 + 1) for i in range(300)], 40, 2),
+        (two_valued(1500), 1000, 2),
+    ],
+)
+def test_cuts_have_the_least_capacity(spark, sizes, shards, cells):
     sums, total = [], 0
     for s in sizes:
         total += s
@@ -64,7 +86,11 @@ def test_group_above_a_share_stands_alone(spark):
     sizes = {r["shard"]: (r["n"], r["b"]) for r in shards}
     assert sizes[4] == (60, 60 * 166)
     rest = [sizes[i][1] for i in range(4)]
-    assert max(rest) < 1.3 * min(rest)
+    # the nine other groups in the order of their hashes: no cut of them into four has a smaller largest shard
+    texts = sorted({"x" * i for i in range(9)}, key=lambda t: sha256(t.encode()).hexdigest())
+    weights = [10 * (16 + len(t)) for t in texts]
+    best = min(max(sum(weights[a:b]) for a, b in zip((0, *c), (*c, 9))) for c in combinations(range(1, 9), 3))
+    assert sum(rest) == sum(weights) and max(rest) == best
 
 
 def test_no_rows(nothing):
