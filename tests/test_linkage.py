@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrow.functions.similarity import jaro_winkler, jaro_winkler_pairs
-from harrow.operators import candidates, linkage
+from harrow.operators import candidates, linkage, prefix_keys
 from tests.helpers import one, rows
 
 
@@ -74,6 +74,54 @@ def test_tiles_give_the_same_pairs_as_one_task(spark):
     assert got.count() == len(want)
 
 
+def odd_words(n, seed, letters="aab"):
+    """Short words of few letters, so that letters repeat and similar words abound."""
+    rng = random.Random(seed)
+    return list(dict.fromkeys("".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(n)))
+
+
+@pytest.mark.parametrize("cut", [0.7, 0.8, 0.85, 0.94])
+def test_similar_values_share_a_key(cut):
+    factors = [candidates.overlap_factor(cut, h) for h in range(5)]
+    words = odd_words(120, 1) + odd_words(120, 2, "abcdefgh") + list(dict.fromkeys(names(120, 3, 30))) + ["a" * 50, "a" * 49 + "b", "ab" * 45]
+    ranks = {c: i for i, c in enumerate("hgfedcba")}
+    keys = {w: [prefix_keys.keys_of(w, factors, lambda c: ranks.get(c, 0), longer) for longer in (False, True)] for w in set(words)}
+    close = 0
+    for x in keys:
+        for y in keys:
+            if len(x) <= len(y) and jw(x, y) >= cut:
+                close += 1
+                assert keys[x][0] & keys[y][1], (x, y)
+    assert close > len(keys)  # each is like itself
+
+
+@pytest.mark.parametrize("cut,tile", [(0.85, 1024), (0.94, 8)])
+def test_large_blocks_give_the_same_pairs_by_keys(spark, cut, tile):
+    values = list(dict.fromkeys(odd_words(150, 4, "abc") + names(200, 5) + ["X" * 60, "X" * 59 + "Y"]))
+    data = [("tx" if i % 4 else "hot", v) for i, v in enumerate(values)] + [("tx", values[0]), (None, "ABC"), ("tx", None), ("tx", "")]
+    df = spark.createDataFrame(data, "state string, name string")
+    one_way = candidates.similar_values(df, None, ["state"], "name", cut, tile=1000)
+    keyed = candidates.similar_values(df, None, ["state"], "name", cut, tile=tile, dealt=0)
+    want = rows(one_way.withColumn("similarity", F.round("similarity", 9)), "state", "left_value", "right_value", "similarity")
+    assert rows(keyed.withColumn("similarity", F.round("similarity", 9)), *one_way.columns) == want and want
+    # one block is large enough, the other is not
+    mixed = candidates.similar_values(df, None, ["state"], "name", cut, tile=64, dealt=6)
+    assert rows(mixed.withColumn("similarity", F.round("similarity", 9)), *one_way.columns) == want
+
+
+def test_two_large_tables_without_block(spark):
+    x, y = odd_words(80, 6, "abcd") + names(60, 6), odd_words(80, 7, "abcd") + names(60, 7)
+    a, b = (spark.createDataFrame([(n,) for n in v], "name string") for v in (x, y))
+    got = candidates.similar_values(a, b, [], "name", 0.8, dealt=0)
+    assert {(r["left_value"], r["right_value"]) for r in got.collect()} == {(p, q) for p in x for q in y if jw(p, q) >= 0.8}
+
+
+def test_keys_of_a_value_depend_on_its_length_only():
+    factors = [candidates.overlap_factor(0.85, h) for h in range(5)]
+    most = [max(len(prefix_keys.keys_of(w, factors, ord, longer)) for w in names(50, 9, 24)) for longer in (False, True)]
+    assert most[0] < 200 and most[1] < 3000
+
+
 def test_spanning_pairs_give_the_same_groups(spark):
     family = [f"GREEN VALLEY FARM NUMBER {i}" for i in range(60)]
     df = spark.createDataFrame([("tx", v) for v in family + names(80, 11)], "state string, name string")
