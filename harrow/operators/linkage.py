@@ -21,6 +21,9 @@ from harrow.session import cut_lineage
 
 MISSING, DISAGREE, PARTIAL, AGREE = -1, 0, 1, 2
 
+#: Edges of a node that are brought together, and nodes with more that are looked up at most.
+HUB_ROWS, HUBS = 100_000, 10_000
+
 
 def combinations(df: DataFrame, block: Sequence[str], fields: Sequence[str]) -> DataFrame:
     """Distinct block and field values with their row count; null blocks drop.
@@ -347,32 +350,73 @@ def expand_null_safe(pairs, left, right, block, fields, left_id, right_id) -> Da
 # Groups
 
 
-def connected_groups(nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b") -> DataFrame:
+def connected_groups(
+    nodes: DataFrame, edges: DataFrame, node: str = "node", a: str = "a", b: str = "b", hub_rows: int = HUB_ROWS
+) -> DataFrame:
     """(node, group): the group is the smallest node it is linked with.
 
-    In each round a whole group moves to the smallest group it touches, and
-    chains of moves are shortened, so the number of groups at least halves and
-    few rounds are needed whatever the chains' length. Each round is written to
-    the checkpoint folder; the loop ends when no group moves.
+    Stars are contracted in two ways by turns. First every edge's smaller end gives way
+    to that end's smallest neighbour; then a node's smaller neighbours are tied to the
+    smallest of them. Both keep what is connected. Ends only get smaller, and a chain of
+    n nodes is done in about log n rounds. Each round is written to the checkpoint
+    folder; the loop ends when every node has one edge, to a node that is nobody's larger.
+
+    A node with more than ``hub_rows`` edges, and more than a ten-thousandth of all, is a
+    hub. Its edges are never brought together: hubs are few, so their smallest
+    neighbours go to the tasks in which the edges are.
     """
-    both = edges.select(F.col(a).alias("_from"), F.col(b).alias("_to"))
-    both = cut_lineage(both.unionByName(both.select(F.col("_to").alias("_from"), F.col("_from").alias("_to"))).distinct())
-    labels = both.select(F.col("_from").alias(node)).distinct().withColumn("group", F.col(node))
-    labels = cut_lineage(labels)
+    one, two = F.col(a), F.col(b)
+    pairs = cut_lineage(edges.where(one != two).select(F.greatest(one, two).alias("_large"), F.least(one, two).alias("_small")).distinct())
     while True:
-        theirs = labels.select(F.col(node).alias("_to"), F.col("group").alias("_other"))
-        near = both.join(theirs, "_to").groupBy("_from").agg(F.min("_other").alias("_near"))
-        touched = labels.join(near, labels[node] == near["_from"])
-        moves = touched.groupBy(F.col("group").alias("_old")).agg(F.least(F.first("group"), F.min("_near")).alias("_new"))
-        moves = cut_lineage(moves)
-        if moves.where(F.col("_new") < F.col("_old")).isEmpty():
+        size = pairs.count()
+        if _is_star(pairs):
             break
-        for _ in range(2):
-            onward = moves.select(F.col("_old").alias("_at"), F.col("_new").alias("_next"))
-            moves = moves.join(onward, moves["_new"] == onward["_at"]).select("_old", F.col("_next").alias("_new"))
-        labels = cut_lineage(labels.join(moves, labels["group"] == moves["_old"]).select(node, F.col("_new").alias("group")))
-    alone = nodes.select(node).distinct().join(labels, node, "left")
-    return alone.select(node, F.coalesce("group", node).alias("group"))
+        pairs = cut_lineage(_small_star(_large_star(pairs, size, hub_rows), size, hub_rows))
+    alone = nodes.select(F.col(node).alias("_node")).distinct().join(pairs, F.col("_node") == F.col("_large"), "left")
+    return alone.select(F.col("_node").alias(node), F.coalesce("_small", "_node").alias("group"))
+
+
+def _is_star(pairs: DataFrame) -> bool:
+    """If each node is the larger of one pair at most, and not also the smaller of another."""
+    roles = pairs.select(F.col("_large").alias("n"), F.lit(1).alias("large"), F.lit(0).alias("small"))
+    roles = roles.unionByName(pairs.select(F.col("_small").alias("n"), F.lit(0).alias("large"), F.lit(1).alias("small")))
+    sums = roles.groupBy("n").agg(F.sum("large").alias("large"), F.max("small").alias("small"))
+    return sums.where((F.col("large") > 1) | (F.col("large") * F.col("small") > 0)).isEmpty()
+
+
+def _smallest(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy(F.col("_large").alias("_at")).agg(F.min("_small").alias("_least"))
+
+
+def _large_star(pairs: DataFrame, size: int, hub_rows: int) -> DataFrame:
+    """Each pair's larger node with the smallest neighbour of the smaller one, or with that itself."""
+    met = _look_up(pairs, "_small", _smallest(pairs), size, hub_rows)
+    return met.select("_large", F.coalesce("_least", "_small").alias("_small")).distinct()
+
+
+def _small_star(pairs: DataFrame, size: int, hub_rows: int) -> DataFrame:
+    """A node's smaller neighbours, and the node itself, each with the smallest of them."""
+    met = _look_up(pairs, "_large", _smallest(pairs), size, hub_rows)
+    others = met.where(F.col("_small") != F.col("_least")).select(F.col("_small").alias("_large"), F.col("_least").alias("_small"))
+    own = met.select("_large", F.col("_least").alias("_small"))
+    return others.unionByName(own).distinct()
+
+
+def _look_up(pairs: DataFrame, key: str, table: DataFrame, size: int, hub_rows: int) -> DataFrame:
+    """``pairs`` with the ``_least`` of their ``key``, null if it has none; the edges of hubs stay where they are."""
+
+    def plain(df: DataFrame) -> DataFrame:
+        return df.join(table, df[key] == table["_at"], "left")
+
+    if size <= hub_rows:
+        return plain(pairs)
+    at_least = max(hub_rows, size // HUBS)  # so hubs are fewer than HUBS
+    hubs = cut_lineage(pairs.groupBy(F.col(key).alias("_hub")).agg(F.count("*").alias("n")).where(F.col("n") > at_least).select("_hub"))
+    if hubs.isEmpty():
+        return plain(pairs)
+    near = hubs.join(table, hubs["_hub"] == table["_at"], "left").select("_hub", "_at", "_least")
+    crowded = pairs.join(F.broadcast(near), pairs[key] == near["_hub"]).drop("_hub")
+    return crowded.unionByName(plain(pairs.join(F.broadcast(hubs), pairs[key] == hubs["_hub"], "left_anti")))
 
 
 def dedupe_values(
