@@ -271,3 +271,54 @@ def test_blank_names_get_no_group(spark):
     df = spark.createDataFrame([(1, "TX", "GREEN FARM"), (2, "TX", "GREEN FARMS"), (3, "TX", None), (4, "GA", "GREEN FARM")], "i int, state string, name string")
     got = {r["i"]: r["group"] for r in linkage.dedupe_values(df, "name", ["state"]).collect()}
     assert got == {1: "GREEN FARM", 2: "GREEN FARM", 3: None, 4: "GREEN FARM"}
+
+
+def groups_of(spark, nodes, edges, **options):
+    n, e = spark.createDataFrame([(x,) for x in nodes], "node long"), spark.createDataFrame(edges, "a long, b long")
+    return dict(rows(linkage.connected_groups(n, e, **options), "node", "group"))
+
+
+def plain_groups(nodes, edges):
+    root = {x: x for x in nodes}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        p, q = find(a), find(b)
+        root[max(p, q)] = min(p, q)
+    return {x: find(x) for x in nodes}
+
+
+@pytest.mark.parametrize("hub_rows", [linkage.HUB_ROWS, 20])
+def test_groups_of_stars_chains_and_random_edges(spark, hub_rows):
+    rng = random.Random(2)
+    edges = [(5000, 5000 + i) for i in range(1, 400)] + [(7000 + i, 7000) for i in range(1, 300)] + [(7001, 5001)]
+    edges += [(i, i + 1) for i in range(1000, 1300)] + [(rng.randrange(400), rng.randrange(400)) for _ in range(250)]
+    nodes = list(range(0, 8000))
+    assert groups_of(spark, nodes, edges + edges[:50] + [(3, 3)], hub_rows=hub_rows) == plain_groups(nodes, edges)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    order = list(range(100_000))
+    random.Random(9).shuffle(order)
+    rounds = []
+    step = linkage._small_star
+    monkeypatch.setattr(linkage, "_small_star", lambda *a: rounds.append(1) or step(*a))
+    edges = spark.createDataFrame(list(zip(order, order[1:])), "a long, b long")
+    out = linkage.connected_groups(spark.range(100_000).select(F.col("id").alias("node")), edges)
+    assert out.agg(F.max("group"), F.count("*")).first() == (0, 100_000) and len(rounds) <= 17
+
+
+def test_edges_of_a_hub_are_not_brought_together(spark):
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 900)] + [(i, i - 1) for i in range(1000, 1100)], "_large long, _small long").repartition(6)
+    met = linkage._look_up(pairs, "_small", linkage._smallest(pairs), 1000, 100)
+    held = met.where("_small = 0").groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == 6 and met.count() == 999
+
+
+def test_no_edges(spark):
+    assert groups_of(spark, [4, 2], []) == {4: 4, 2: 2}
