@@ -1,8 +1,9 @@
 """Reading period files, sheets, lookups and nested responses.
 
 Cells may be quoted and then hold separators, doubled quotes and line breaks
-(RFC 4180). Reading line breaks means that a file is not split; give
-``multiLine=False`` for large files without them.
+(RFC 4180). Spark's reader does not split a file whose cells may hold line
+breaks; ``split=True`` reads it in many tasks all the same, and
+``multiLine=False`` does for files without them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from harrow.sources.split_csv import read_split
 
 #: How quoted cells are written and read back.
 QUOTING = {"quote": '"', "escape": '"'}
@@ -32,13 +34,18 @@ def read_delimited(
     path: str | Sequence[str],
     schema: T.StructType | str | None = None,
     blank_as_null: bool = True,
+    split: bool = False,
     **options,
 ) -> DataFrame:
     """Delimited text with a header row.
 
     Without a schema the types are inferred, which reads the input twice; give
-    one for large inputs. Blank cells read as null unless told otherwise.
+    one for large inputs. Blank cells read as null unless told otherwise. With
+    ``split`` a file is read by byte ranges (``split_csv.read_split``), its
+    columns as text if no schema is given.
     """
+    if split:
+        return read_split(spark, path, schema, blank_as_null, **options)
     reader = spark.read.option("nullValue", "" if blank_as_null else "\u0000").options(**_options(options))
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
     return reader.csv(path if isinstance(path, str) else list(path))

@@ -30,7 +30,7 @@ def csv_round_trip(t):
     sinks.write_table(texts, path, "csv")
     words = {"string": "Char", "date": "Date"}
     dictionary = [(name, words.get(kind, "Numeric")) for name, kind in texts.dtypes]
-    return files.read_delimited(t.spark, path, schema.schema_from_dictionary(dictionary))
+    return files.read_delimited(t.spark, path, schema.schema_from_dictionary(dictionary), split=True)
 
 
 @query(
