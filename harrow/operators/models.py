@@ -17,7 +17,7 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from harrow.operators.aggregates import cross_counts
@@ -237,8 +237,8 @@ def score_histogram(predicted: DataFrame, bins: int = 20, score: str = "predicte
     return joined.select("model", "actual", "bin", "n", (F.col("n") / F.col("_n") * bins).alias("density"))
 
 
-def binned_trend(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
-    """Mean of ``y`` and ``x`` in bins of ``x`` with equal numbers of rows, the first ones a row larger; ties go by ``y``."""
+def _binned(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
+    """(bin, x, y): the known pairs in bins of ``x`` with equal numbers of rows, the first ones a row larger; ties go by ``y``."""
     from harrow.operators.order import row_positions
 
     known = df.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -247,41 +247,127 @@ def binned_trend(df: DataFrame, x: str, y: str, bins: int = 10) -> DataFrame:
     at, least, more = F.col("_place") - 1, F.floor(F.col("_n") / bins), F.col("_n") % bins
     wide = more * (least + 1)  # rows in the larger bins
     place = F.when(at < wide, F.floor(at / (least + 1))).otherwise(more + F.floor(F.try_divide(at - wide, least)))
-    return placed.groupBy(place.alias("bin")).agg(
-        F.avg(x).alias("mean_x"), F.avg(y).alias("mean_y"), F.count("*").alias("n")
+    return placed.select(place.alias("bin"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+
+def binned_trend(df: DataFrame, x: str, y: str, bins: int = 10, digits: int = 4) -> DataFrame:
+    """Mean of ``y`` and ``x`` in bins of ``x`` with equal numbers of rows, the first ones a row larger; ties go by ``y``.
+
+    Sums are taken of decimals with ``digits`` places and divided once, so the means do
+    not depend on the order in which rows are added.
+    """
+    sums = _binned(df, x, y, bins).groupBy("bin").agg(*_moments(digits, "x", "y"), F.count("*").alias("n"))
+    return sums.select("bin", *[(F.col(f"sum_{c}").cast("double") / F.col("n")).alias(f"mean_{c}") for c in "xy"], "n")
+
+
+def _moments(digits: int, *products: str) -> list[Column]:
+    """Exact sums of products of columns with one-letter names, ``xy`` as ``sum_xy``."""
+    out = []
+    for letters in products:
+        value = reduce(lambda a, b: a * b, [F.col(c).cast(f"decimal(18,{digits})") for c in letters])
+        out.append(F.sum(value).alias(f"sum_{letters}"))
+    return out
+
+
+def smoothed_trend(df: DataFrame, x: str, y: str, bins: int = 20, span: float = 0.4, digits: int = 4) -> DataFrame:
+    """(bin, center, smooth, n): a local straight line through the rows near each bin's mean, read off there.
+
+    Rows are reduced to the exact moments of equal-count bins. Of these the nearest
+    ones that hold ``span`` of the bins take part in a fit, with tricube weights of the distance of
+    their means; the weighted moments give the line. A neighbourhood without spread in
+    ``x`` has the weighted mean. Only the bins' table, of ``bins`` rows, meets itself.
+    """
+    sums = _binned(df, x, y, bins).groupBy("bin").agg(*_moments(digits, "x", "y", "xx", "xy"), F.count("*").alias("n"))
+    double = [F.col(c).cast("double").alias(c) for c in ("sum_x", "sum_y", "sum_xx", "sum_xy")]
+    table = sums.select("bin", *double, "n", (F.col("sum_x").cast("double") / F.col("n")).alias("at"))
+    around = table.select(F.col("bin").alias("_bin"), F.col("at").alias("_at"))
+    pairs = around.crossJoin(table).withColumn("_far", F.abs(F.col("at") - F.col("_at")))  # bins times bins rows
+    near = Window.partitionBy("_bin").orderBy("_far", "bin")
+    many = max(2, math.ceil(span * bins))
+    pairs = pairs.withColumn("_place", F.row_number().over(near)).withColumn("_reach", F.max(F.when(F.col("_place") <= many, F.col("_far"))).over(Window.partitionBy("_bin")))
+    share = F.when(F.col("_reach") > 0, F.col("_far") / (F.col("_reach") * 1.000001)).otherwise(0.0)
+    weighed = pairs.where(F.col("_place") <= many).withColumn("_w", F.pow(1 - F.pow(share, 3), 3))
+    # moments about the place itself, so that large values do not cancel
+    dx, dxx, dxy = (
+        F.col("sum_x") - F.col("n") * F.col("_at"),
+        F.col("sum_xx") - 2 * F.col("_at") * F.col("sum_x") + F.col("n") * F.col("_at") * F.col("_at"),
+        F.col("sum_xy") - F.col("_at") * F.col("sum_y"),
+    )
+    terms = {"s": F.col("n"), "sx": dx, "sy": F.col("sum_y"), "sxx": dxx, "sxy": dxy}
+    fit = weighed.groupBy("_bin", "_at").agg(
+        *[F.sum(F.col("_w") * v).alias(k) for k, v in terms.items()], F.max(F.when(F.col("bin") == F.col("_bin"), F.col("n"))).alias("n")
     )
+    spread = F.col("s") * F.col("sxx") - F.col("sx") * F.col("sx")
+    flat = spread <= 1e-9 * F.col("s") * F.col("sxx")
+    line = F.when(flat, F.col("sy") / F.col("s")).otherwise((F.col("sxx") * F.col("sy") - F.col("sx") * F.col("sxy")) / spread)
+    return fit.select(F.col("_bin").alias("bin"), F.col("_at").alias("center"), line.alias("smooth"), "n")
 
 
-def two_way_effects(df: DataFrame, unit: str, period: str, x: str, y: str, tol: float = 1e-10, rounds: int = 200) -> DataFrame:
-    """Slope and standard error of ``y`` on ``x`` with unit and period effects.
+def two_way_effects(df: DataFrame, unit: str, period: str, x: str, y: str, tol: float = 1e-12, rounds: int = 200) -> DataFrame:
+    """Slope and standard error of ``y`` on ``x`` with unit and period effects. One row: slope, std_error, n.
 
-    Both variables are cleared of unit and period means in turn until nothing
-    moves; a balanced panel needs one round. One row: slope, std_error, n.
+    Rows are reduced once to the count, means and inner moments of each cell of unit and
+    period. With the unit effects eliminated, those of the periods solve a linear system,
+    here by conjugate gradients for both variables at once. A product with its matrix
+    takes the cells to units and back, so neither the matrix nor a vector leaves
+    the tasks; a few sums a round do. A balanced panel takes one round, any panel at most one
+    for each period but for rounding. Panels of several unconnected parts are solved all the same.
     """
-    table = df.select(unit, period, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    current = cut_lineage(table.dropna())
+    known = df.select(F.col(unit).alias("u"), F.col(period).alias("p"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
+    n = F.count("*")
+    cells = known.groupBy("u", "p").agg(
+        n.cast("double").alias("n"), F.avg("x").alias("x"), F.avg("y").alias("y"),
+        (F.var_pop("x") * n).alias("xx"), (F.covar_pop("x", "y") * n).alias("xy"), (F.var_pop("y") * n).alias("yy"),
+    )
+    cells = cut_lineage(cells)
+    both = ("x", "y")
 
-    def clear(t, key):
-        means = t.groupBy(F.col(key).alias("_k")).agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))
-        return t.join(means, t[key] == means["_k"]).select(
-            unit, period, (F.col("x") - F.col("_x")).alias("x"), (F.col("y") - F.col("_y")).alias("y")
-        )
+    def unit_means(table: DataFrame, names: Sequence[str]) -> DataFrame:
+        weighed = [(F.sum(F.col("n") * F.col(c)) / F.sum("n")).alias(f"u{c}") for c in names]
+        return table.groupBy(F.col("u").alias("_u")).agg(*weighed)
 
+    def met(table: DataFrame, other: DataFrame, key: str) -> DataFrame:
+        return table.join(other, table[key] == other[f"_{key}"]).drop(f"_{key}")
+
+    means = unit_means(cells, both)
+    # what a period's cells are above their units' means
+    left = [F.sum(F.col("n") * (F.col(c) - F.col(f"u{c}"))).alias(f"r{c}") for c in both]
+    state = met(cells, means, "u").groupBy("p").agg(F.sum("n").alias("size"), *left)
+    state = cut_lineage(state.select("*", *[v for c in both for v in (F.lit(0.0).alias(f"b{c}"), (F.col(f"r{c}") / F.col("size")).alias(f"d{c}"))]))
+
+    def sums(table: DataFrame, a: str, b: str, share: bool) -> dict[str, float]:
+        part = F.col("size") if share else F.lit(1.0)
+        row = table.agg(*[F.sum(F.col(a + c) * F.col(b + c) / part).alias(c) for c in both]).first()
+        return {c: row[c] or 0.0 for c in both}
+
+    first = current = sums(state, "r", "r", True)
     for _ in range(rounds):
-        current = cut_lineage(clear(clear(current, unit), period))
-        left = current.groupBy(unit).agg(F.abs(F.avg("x")).alias("a"), F.abs(F.avg("y")).alias("b"))
-        worst = left.agg(F.max("a").alias("a"), F.max("b").alias("b")).crossJoin(
-            current.agg(F.max(F.abs("x")).alias("sx"), F.max(F.abs("y")).alias("sy"))
-        ).first()
-        if worst["a"] <= tol * max(worst["sx"], 1.0) and worst["b"] <= tol * max(worst["sy"], 1.0):
+        if all(current[c] <= tol**2 * first[c] for c in both):
             break
+        carried = state.select(F.col("p").alias("_p"), *[F.col(f"d{c}") for c in both])
+        through = unit_means(met(cells, carried, "p"), [f"d{c}" for c in both])
+        back = met(cells, through, "u").groupBy(F.col("p").alias("_p")).agg(*[F.sum(F.col("n") * F.col(f"ud{c}")).alias(f"q{c}") for c in both])
+        state = met(state, back, "p")
+        state = cut_lineage(state.withColumns({f"q{c}": F.col("size") * F.col(f"d{c}") - F.col(f"q{c}") for c in both}))
+        bend = sums(state, "d", "q", False)
+        step = {c: current[c] / bend[c] if bend[c] > 0 and current[c] > tol**2 * first[c] else 0.0 for c in both}
+        state = state.withColumns(
+            {f"b{c}": F.col(f"b{c}") + step[c] * F.col(f"d{c}") for c in both} | {f"r{c}": F.col(f"r{c}") - step[c] * F.col(f"q{c}") for c in both}
+        )
+        after = sums(state, "r", "r", True)
+        turn = {c: after[c] / current[c] if step[c] else 0.0 for c in both}
+        state = state.withColumns({f"d{c}": F.col(f"r{c}") / F.col("size") + turn[c] * F.col(f"d{c}") for c in both}).drop("qx", "qy")
+        current = {c: after[c] if step[c] else 0.0 for c in both}
     else:
         raise RuntimeError(f"the effects did not settle to {tol} in {rounds} rounds")
-    sums = current.agg(
-        F.count("*").alias("n"), F.count_distinct(unit).alias("u"), F.count_distinct(period).alias("p"),
-        F.sum(F.col("x") * F.col("x")).alias("xx"), F.sum(F.col("x") * F.col("y")).alias("xy"), F.sum(F.col("y") * F.col("y")).alias("yy"),
+    effects = state.select(F.col("p").alias("_p"), "bx", "by")
+    cleared = met(cells, effects, "p").withColumns({c: F.col(c) - F.col(f"b{c}") for c in both})
+    rest = met(cleared, unit_means(cleared, both), "u").withColumns({c: F.col(c) - F.col(f"u{c}") for c in both})
+    total = rest.agg(
+        F.sum("n").cast("long").alias("n"), F.count_distinct("u").alias("u"), F.count_distinct("p").alias("p"),
+        *[F.sum(F.col(a + b) + F.col("n") * F.col(a) * F.col(b)).alias(a + b) for a, b in ("xx", "xy", "yy")],
     )
     slope = F.col("xy") / F.col("xx")
     freedom = F.col("n") - F.col("u") - F.col("p")
-    rest = F.col("yy") - slope * F.col("xy")
-    return sums.select(slope.alias("slope"), F.sqrt(rest / freedom / F.col("xx")).alias("std_error"), "n")
+    remains = F.col("yy") - slope * F.col("xy")
+    return total.select(slope.alias("slope"), F.sqrt(remains / freedom / F.col("xx")).alias("std_error"), "n")

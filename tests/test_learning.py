@@ -3,6 +3,7 @@
 import math
 import random
 
+import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
@@ -48,6 +49,56 @@ def test_points_in_polygons(spark):
         assert got == [(1, "big"), (2, "big"), (2, "right"), (3, None), (4, "big"), (5, None), (6, None), (7, "far"), (8, "big")]
 
 
+def star(rng, x, y, size, corners):
+    """A ring around a point that winds in and out."""
+    turns = sorted(rng.uniform(0, 2 * math.pi) for _ in range(corners))
+    return [(x + size * r * math.cos(a), y + size * r * math.sin(a)) for a, r in ((a, rng.uniform(0.3, 1)) for a in turns)]
+
+
+def inside(ring, x, y):
+    """Even-odd rule with points on an edge inside, all edges looked at."""
+    odd = False
+    for (ax, ay), (bx, by) in zip(ring, ring[1:] + ring[:1]):
+        cross = (bx - ax) * (y - ay) - (by - ay) * (x - ax)
+        if cross == 0 and min(ax, bx) <= x <= max(ax, bx) and min(ay, by) <= y <= max(ay, by):
+            return True
+        odd ^= (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay)
+    return odd
+
+
+@pytest.mark.parametrize("together", [False, True])
+def test_polygons_of_very_unequal_size(spark, together, monkeypatch):
+    """One giant among small ones, some of many edges; points anywhere or all in one cell, on corners and on edges."""
+    monkeypatch.setattr(spatial, "BROADCAST_EDGES", 10**6 if together else 0)
+    rng = random.Random(3)
+    shapes = [("giant", star(rng, 0, 0, 1000, 500)), ("box", [(-500.0, -500.0), (500.0, -500.0), (500.0, 500.0), (-500.0, 500.0)])]
+    shapes += [(f"s{i}", star(rng, rng.uniform(-50, 50), rng.uniform(-50, 50), rng.uniform(0.1, 3), rng.choice([3, 5, 40]))) for i in range(300)]
+    shapes += [("dot", [(1.0, 1.0)]), ("none", [])]
+    kind = "area string, rings array<array<struct<x:double,y:double>>>"
+    polygons = spark.createDataFrame([(n, [[{"x": a, "y": b} for a, b in r]]) for n, r in shapes], kind)
+    wide = 5 if together else 700
+    pts = [(rng.uniform(-wide, wide), rng.uniform(-wide, wide)) for _ in range(400)] + [(1.0, 1.0), (500.0, 3.0), (-500.0, -500.0)]
+    pts += [p for _, r in shapes[2:40] for p in r[:1]]
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate(pts)] + [(-1, None, 2.0), (-2, 1.0, None)], "i int, x double, y double")
+    want = [(i, n) for i, (x, y) in enumerate(pts) for n, r in shapes if r and inside(r, x, y)]
+    want += [(i, None) for i in {-1, -2, *range(len(pts))} - {i for i, _ in want}]
+    for edges in (64, 4):
+        got = rows(spatial.join_points(points, polygons, "x", "y", "rings", edges_in_strip=edges), "i", "area")
+        assert set(got) == set(want) and len(got) == len(want)
+
+
+def test_polygons_meet_few_cells(spark):
+    rng = random.Random(4)
+    shapes = [("giant", star(rng, 0, 0, 1000, 500))] + [(f"s{i}", star(rng, rng.uniform(-900, 900), 0, 0.5, 5)) for i in range(200)]
+    polygons = spark.createDataFrame([(n, [[{"x": a, "y": b} for a, b in r]]) for n, r in shapes], "area string, rings array<array<struct<x:double,y:double>>>")
+    placed = polygons.select("area", geometry.edges(F.col("rings")).alias("_edges"), *[c.alias(f"_{n}") for n, c in geometry.bounds(F.col("rings")).items()])
+    placed = placed.withColumn("_polygon", F.monotonically_increasing_id())
+    side = F.greatest(F.col("_max_x") - F.col("_min_x"), F.col("_max_y") - F.col("_min_y"))
+    filed = spatial._filed(placed, ["area"], side, 0.1, 64).groupBy("area").agg(F.count("*").alias("n"), F.max(F.size("_edges")).alias("most"))
+    found = {r["area"]: (r["n"], r["most"]) for r in filed.collect()}
+    assert all(n <= (4 * 8 if a == "giant" else 4) for a, (n, _) in found.items()) and found["giant"][1] < 250
+
+
 def test_random_polygon_against_half_planes(spark):
     rng = random.Random(5)
     corners = [(math.cos(a), math.sin(a)) for a in sorted(rng.uniform(0, 2 * math.pi) for _ in range(9))]
@@ -166,3 +217,56 @@ def test_two_way_effects_on_an_unbalanced_panel(spark):
     error = math.sqrt(residual @ residual / freedom * np.linalg.inv(design.T @ design)[0, 0])
     assert abs(got["slope"] - beta[0]) < 1e-6
     assert abs(got["std_error"] / error - 1) < 0.05
+
+
+def panel(kind):
+    rng = random.Random(8)
+    links = {
+        "connected": [(u, p) for u in range(40) for p in range(12) if rng.random() < 0.4],
+        "in two parts": [(u, p) for u in range(40) for p in range(12) if u % 2 == p % 2 and rng.random() < 0.5],
+        "one row a unit": [(u, u % 9) for u in range(60)] + [(0, p) for p in range(9)] + [(1, 3)],
+        "repeated cells": [(rng.randrange(6), rng.randrange(25)) for _ in range(300)],
+        "a chain": [(u, p) for u in range(15) for p in (u, u + 1)] + [(0, 5), (3, 3)],
+    }[kind]
+    data = []
+    for u, p in links:
+        x = rng.uniform(0, 5) + u + 1000
+        data.append((u, p, x, 2.5 * x + 3 * u - p + rng.gauss(0, 0.5)))
+    return data
+
+
+@pytest.mark.parametrize("kind", ["connected", "in two parts", "one row a unit", "repeated cells", "a chain"])
+def test_two_way_effects_equal_dense_least_squares(spark, kind, monkeypatch):
+    import numpy as np
+
+    data, kept = panel(kind), []
+    cut = models.cut_lineage
+    monkeypatch.setattr(models, "cut_lineage", lambda df: kept.append(1) or cut(df))
+    got = models.two_way_effects(spark.createDataFrame(data, "u int, p int, x double, y double"), "u", "p", "x", "y").first()
+    units, periods = sorted({r[0] for r in data}), sorted({r[1] for r in data})
+    dummies = np.zeros((len(data), len(units) + len(periods)))
+    for i, (u, p, *_) in enumerate(data):
+        dummies[i, units.index(u)] = dummies[i, len(units) + periods.index(p)] = 1
+    x, y = (np.array([r[c] for r in data]) - 1000 for c in (2, 3))
+    x, y = (v - dummies @ np.linalg.lstsq(dummies, v, rcond=None)[0] for v in (x, y))
+    assert abs(got["slope"] - x @ y / (x @ x)) < 1e-9 and got["n"] == len(data)
+    assert len(kept) - 2 < 30
+
+
+def test_trends_do_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(6)
+    data = [(float(rng.randrange(1, 51)), round(rng.uniform(900, 90000), 2)) for _ in range(3000)]
+    seen = set()
+    for seed in range(5):
+        rng.shuffle(data)
+        df = spark.createDataFrame(data, "x double, y double").repartition(1 + seed)
+        seen.add(tuple(sorted(map(tuple, models.binned_trend(df, "x", "y").collect()))))
+    assert len(seen) == 1
+
+
+def test_smoothed_trend_follows_a_line_and_flat_data(spark):
+    line = spark.createDataFrame([(float(i), 3.0 * i - 7) for i in range(500)], "x double, y double")
+    out = models.smoothed_trend(line, "x", "y").collect()
+    assert len(out) == 20 and all(abs(r["smooth"] - (3 * r["center"] - 7)) < 1e-6 for r in out)
+    flat = spark.createDataFrame([(1.0, float(i % 2)) for i in range(400)], "x double, y double")
+    assert all(0 <= r["smooth"] <= 1 for r in models.smoothed_trend(flat, "x", "y").collect())

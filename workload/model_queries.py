@@ -337,12 +337,30 @@ def score_histogram(t):
     "ML-15",
     """
     WITH p AS (SELECT ntile(10) OVER (ORDER BY l_quantity, l_extendedprice) - 1 AS bin, l_quantity, l_extendedprice FROM lineitem)
-    SELECT bin, round(avg(l_quantity), 6) AS mean_x, round(avg(l_extendedprice), 4) AS mean_y, count(*) AS n FROM p GROUP BY 1
+    SELECT bin, sum(l_quantity::DECIMAL(18, 4))::DOUBLE / count(*) AS mean_x, sum(l_extendedprice::DECIMAL(18, 4))::DOUBLE / count(*) AS mean_y, count(*) AS n
+    FROM p GROUP BY 1
     """,
 )
 def binned_trend(t):
-    out = models.binned_trend(t.lineitem, "l_quantity", "l_extendedprice")
-    return out.withColumns({"mean_x": F.round("mean_x", 6), "mean_y": F.round("mean_y", 4)})
+    return models.binned_trend(t.lineitem, "l_quantity", "l_extendedprice")
+
+
+@query(
+    "ML-15",
+    """
+    WITH p AS (SELECT ntile(20) OVER (ORDER BY l_quantity, l_extendedprice) - 1 AS bin, l_quantity::DECIMAL(18, 4) AS x, l_extendedprice::DECIMAL(18, 4) AS y FROM lineitem),
+    b AS (SELECT bin, count(*) AS n, sum(x)::DOUBLE AS x, sum(y)::DOUBLE AS y, sum(x * x)::DOUBLE AS xx, sum(x * y)::DOUBLE AS xy, sum(x)::DOUBLE / count(*) AS center FROM p GROUP BY 1),
+    f AS (SELECT a.bin AS bin, a.center, a.n AS own, b.n, b.x, b.y, b.xx, b.xy, abs(b.center - a.center) AS far,
+      row_number() OVER (PARTITION BY a.bin ORDER BY abs(b.center - a.center), b.bin) AS place FROM b a, b),
+    w AS (SELECT *, (1 - (far / (max(far) OVER (PARTITION BY bin) * 1.000001)) ** 3) ** 3 AS w FROM f WHERE place <= 8),
+    s AS (SELECT bin, center, own, sum(w * n) AS s, sum(w * (x - n * center)) AS sx, sum(w * y) AS sy,
+      sum(w * (xx - 2 * center * x + n * center * center)) AS sxx, sum(w * (xy - center * y)) AS sxy FROM w GROUP BY ALL)
+    SELECT bin, round(center, 6) AS center, round((sxx * sy - sx * sxy) / (s * sxx - sx * sx), 3) AS smooth, own AS n FROM s
+    """,
+)
+def smoothed_trend(t):
+    out = models.smoothed_trend(t.lineitem, "l_quantity", "l_extendedprice")
+    return out.withColumns({"center": F.round("center", 6), "smooth": F.round("smooth", 3)})
 
 
 @query(
