@@ -12,12 +12,12 @@ from workload.registry import query
 @query(
     "JN-01 JN-02 JN-17",
     """
-    SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_acctbal > 0
+    SELECT o_orderkey, c_name, n_name, r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey AND c_mktsegment <> 'BUILDING'
     LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey
     """,
 )
 def left_joins(t):
-    buyers = t.customer.where("c_acctbal > 0").select("c_custkey", "c_name", "c_nationkey")
+    buyers = t.customer.where("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name", "c_nationkey")
     return (
         t.orders.select("o_orderkey", "o_custkey")
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"), "left")
@@ -30,12 +30,11 @@ def left_joins(t):
 @query(
     "JN-02",
     """
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size > 40
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey
     """,
 )
 def inner_join(t):
-    big = t.part.where("p_size > 40").select("p_partkey", "p_brand")
-    return t.lineitem.join(big, F.col("l_partkey") == F.col("p_partkey")).select(
+    return t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")).select(
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "p_brand"
     )
 
@@ -43,26 +42,26 @@ def inner_join(t):
 @query(
     "JN-03",
     """
-    SELECT c_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_totalprice > 450000 GROUP BY 1)
+    SELECT c_custkey, n FROM (SELECT o_custkey, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1)
     RIGHT JOIN customer ON o_custkey = c_custkey
     """,
 )
 def right_join(t):
-    large = t.orders.where("o_totalprice > 450000").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    return large.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "n")
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").groupBy("o_custkey").agg(F.count("*").alias("n"))
+    return urgent.join(t.customer, F.col("o_custkey") == F.col("c_custkey"), "right").select("c_custkey", "n")
 
 
 @query(
     "JN-04",
     """
     SELECT coalesce(a.k, b.k) AS k, n_cust, n_supp FROM
-      (SELECT c_nationkey AS k, count(*) AS n_cust FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a
-      FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_supp FROM supplier WHERE s_acctbal < 6000 GROUP BY 1) b ON a.k = b.k
+      (SELECT c_nationkey AS k, count(*) AS n_cust FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1) a
+      FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_supp FROM supplier GROUP BY 1) b ON a.k = b.k
     """,
 )
 def full_join_by_key(t):
-    a = t.customer.where("c_acctbal > 9000").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_cust"))
-    b = t.supplier.where("s_acctbal < 6000").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_supp"))
+    a = t.customer.where("c_mktsegment = 'BUILDING'").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_cust"))
+    b = t.supplier.groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_supp"))
     return joins.full_by_key(a, b, ["k"])
 
 
@@ -146,15 +145,13 @@ def overlapping_sources(t):
     "JN-11 DT-03",
     """
     WITH n AS (SELECT c_nationkey AS nation, year(o_orderdate) AS year, quarter(o_orderdate) AS quarter, count(*) AS n
-      FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' AND o_totalprice > 350000 GROUP BY ALL)
+      FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL)
     SELECT n_nationkey AS nation, y::INTEGER AS year, q::INTEGER AS quarter, coalesce(n.n, 0) AS n
     FROM nation, range(1995, 2002) r(y), range(1, 5) s(q) LEFT JOIN n ON n.nation = n_nationkey AND n.year = y AND n.quarter = q
     """,
 )
 def complete_quarters(t):
-    df = t.orders.where("o_orderpriority = '1-URGENT' AND o_totalprice > 350000").join(
-        t.customer, F.col("o_custkey") == F.col("c_custkey")
-    )
+    df = t.orders.where("o_orderpriority = '1-URGENT'").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     counts = df.groupBy(
         F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")
     ).agg(F.count("*").alias("n"))
@@ -167,14 +164,14 @@ def complete_quarters(t):
     """
     WITH m AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM orders), (SELECT date_trunc('month', max(o_orderdate)) FROM orders), INTERVAL 1 MONTH))::DATE AS month)
     SELECT m.month, coalesce(n, 0) AS n FROM m LEFT JOIN (
-      SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders WHERE o_totalprice > 498000 GROUP BY 1) c ON c.month = m.month
+      SELECT date_trunc('month', o_orderdate)::DATE AS month, count(*) AS n FROM orders WHERE o_orderpriority = '1-URGENT' AND quarter(o_orderdate) <> 2 GROUP BY 1) c ON c.month = m.month
     """,
     days="month",
 )
 def month_calendar_counts(t):
     grid = joins.month_calendar(t.orders, "o_orderdate")
-    large = t.orders.where("o_totalprice > 498000")
-    counts = large.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count("*").alias("n"))
+    urgent = t.orders.where("o_orderpriority = '1-URGENT' AND quarter(o_orderdate) <> 2")
+    counts = urgent.groupBy(F.trunc("o_orderdate", "month").alias("month")).agg(F.count("*").alias("n"))
     return joins.complete_counts(counts, grid, ["month"], ["n"])
 
 
@@ -182,7 +179,7 @@ def month_calendar_counts(t):
     "JN-12 JN-11 NUM-03",
     """
     WITH staff AS (SELECT c_nationkey AS nation, year(o_orderdate) * 4 + quarter(o_orderdate) - 1 AS qi, count(*) AS n
-      FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 300000 GROUP BY ALL),
+      FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL),
     grid AS (SELECT n_nationkey AS nation, range AS qi FROM nation, range(1995 * 4, 2002 * 4)),
     full_staff AS (SELECT nation, qi, coalesce(n, 0) AS n FROM grid LEFT JOIN staff USING (nation, qi)),
     cases AS (SELECT s_nationkey AS nation, year(l_shipdate) * 4 + quarter(l_shipdate) - 1 AS qi, count(*) AS cases
@@ -193,7 +190,7 @@ def month_calendar_counts(t):
     """,
 )
 def trailing_staff(t):
-    staff = t.orders.where("o_totalprice > 300000").join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
+    staff = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
     staff = staff.groupBy(
         F.col("c_nationkey").alias("nation"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter")
     ).agg(F.count("*").alias("n"))
@@ -226,11 +223,11 @@ def code_look_up(t):
     "JN-18",
     """
     SELECT c_custkey, sum_price FROM customer LEFT JOIN
-      (SELECT o_custkey, round(sum(o_totalprice), 2) AS sum_price FROM orders WHERE o_totalprice > 400000 GROUP BY 1) ON o_custkey = c_custkey
+      (SELECT o_custkey, round(sum(o_totalprice), 2) AS sum_price FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) ON o_custkey = c_custkey
     """,
 )
 def required_keys_back(t):
-    sums = t.orders.where("o_totalprice > 400000").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
+    sums = t.orders.where("o_orderpriority = '1-URGENT'").groupBy(F.col("o_custkey").alias("c_custkey")).agg(
         F.round(F.sum("o_totalprice"), 2).alias("sum_price")
     )
     return joins.add_missing_keys(sums, t.customer, ["c_custkey"])

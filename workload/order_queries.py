@@ -93,15 +93,15 @@ def top_five_percent(t):
 @query(
     "W-07",
     """
-    SELECT o_orderkey, (SELECT count(DISTINCT coalesce(nullif(x.o_orderpriority, '5-LOW'), '?')) FROM orders x WHERE x.o_custkey = o.o_custkey AND x.o_totalprice > 400000) = 1 AS is_single
-    FROM orders o WHERE o_totalprice > 400000
+    SELECT o_orderkey, (SELECT count(DISTINCT coalesce(nullif(x.o_orderpriority, '5-LOW'), '?')) FROM orders x WHERE x.o_custkey = o.o_custkey AND year(x.o_orderdate) = year(o.o_orderdate)) = 1 AS is_single
+    FROM orders o
     """,
 )
 def single_value_groups(t):
-    df = t.orders.where("o_totalprice > 400000").select(
-        "o_orderkey", "o_custkey", F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("p")
+    df = t.orders.select(
+        "o_orderkey", F.concat_ws("/", "o_custkey", F.year("o_orderdate")).alias("buyer_year"), F.nullif(F.col("o_orderpriority"), F.lit("5-LOW")).alias("p")
     )
-    return groups.single_value_groups(df, "o_custkey", "p").select("o_orderkey", "is_single")
+    return groups.single_value_groups(df, "buyer_year", "p").select("o_orderkey", "is_single")
 
 
 @query(
@@ -142,9 +142,9 @@ def top_per_group(t):
     return out.select("lang", "doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("SET-02", "SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 45")
+@query("SET-02", "SELECT DISTINCT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND year(l_shipdate) = 1997")
 def key_difference(t):
-    sold = t.lineitem.where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
+    sold = t.lineitem.where("l_returnflag = 'R' AND year(l_shipdate) = 1997").select(F.col("l_partkey").alias("p_partkey"))
     return groups.keys_only_in(t.part, sold, "p_partkey")
 
 
@@ -164,15 +164,15 @@ def key_intersection(t):
 @query(
     "SET-04",
     """
-    WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 420000),
-    b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 420000)
+    WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT'),
+    b AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT')
     SELECT c_custkey, CASE WHEN a.o_custkey IS NOT NULL AND b.o_custkey IS NOT NULL THEN 'Both' WHEN a.o_custkey IS NOT NULL THEN 'First only'
       WHEN b.o_custkey IS NOT NULL THEN 'Second only' ELSE 'Neither' END AS category
     FROM customer LEFT JOIN a ON a.o_custkey = c_custkey LEFT JOIN b ON b.o_custkey = c_custkey
     """,
 )
 def key_categories(t):
-    big = t.orders.where("o_totalprice > 420000").withColumnRenamed("o_custkey", "c_custkey")
+    urgent = t.orders.where("o_orderpriority = '1-URGENT'").withColumnRenamed("o_custkey", "c_custkey")
     return groups.key_category(
-        t.customer, big.where("o_orderstatus = 'F'"), big.where("o_orderstatus = 'O'"), "c_custkey", ("First", "Second")
+        t.customer, urgent.where("o_orderstatus = 'F'"), urgent.where("o_orderstatus = 'O'"), "c_custkey", ("First", "Second")
     )

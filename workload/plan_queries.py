@@ -14,22 +14,22 @@ from workload.spatial_queries import diamonds
 
 
 def employer_jobs_and_cases(t):
-    """Parts are employers, brands their states; lines are jobs, returned large lines are cases."""
+    """Parts are employers, brands their states; lines are jobs, returned lines are cases."""
     lines = t.lineitem.join(t.part, F.col("l_partkey") == F.col("p_partkey"))
     name = strings.clean_company_name(F.concat("p_name", F.lit(" LLC"))).alias("name")
     start = F.col("l_shipdate").cast("date")
     jobs = lines.where("l_returnflag = 'N'").select(
         F.col("p_brand").alias("state"), name, start.alias("start"), F.date_add(start, 60).alias("end")
     )
-    cases = lines.where("l_returnflag = 'R' AND l_quantity > 45").select(F.col("p_brand").alias("state"), name, start.alias("found"))
+    cases = lines.where("l_returnflag = 'R'").select(F.col("p_brand").alias("state"), name, start.alias("found"))
     return jobs, cases
 
 
 @query(
     "JN-13 BL-01 AG-05 STR-02 PL-08",
     """
-    WITH l AS (SELECT p_brand AS state, upper(p_name) AS name, l_shipdate::DATE AS d, l_returnflag AS f, l_quantity AS q FROM lineitem JOIN part ON l_partkey = p_partkey),
-    j AS (SELECT DISTINCT state, name, d AS s, d + 60 AS e FROM l WHERE f = 'N'), c AS (SELECT DISTINCT state, name, d FROM l WHERE f = 'R' AND q > 45),
+    WITH l AS (SELECT p_brand AS state, upper(p_name) AS name, l_shipdate::DATE AS d, l_returnflag AS f FROM lineitem JOIN part ON l_partkey = p_partkey),
+    j AS (SELECT DISTINCT state, name, d AS s, d + 60 AS e FROM l WHERE f = 'N'), c AS (SELECT DISTINCT state, name, d FROM l WHERE f = 'R'),
     n AS (SELECT DISTINCT a.state, a.name AS jn, b.name AS cn FROM j a JOIN c b ON a.state = b.state AND jaro_winkler_similarity(a.name, b.name) >= 0.85),
     h AS (SELECT DISTINCT j.state, j.name, j.s FROM j JOIN n ON n.state = j.state AND n.jn = j.name JOIN c ON c.state = n.state AND c.name = n.cn AND c.d BETWEEN j.s AND j.e)
     SELECT year(j.s)::INTEGER AS year, count(DISTINCT j.state || '|' || j.name) AS employers, count(DISTINCT CASE WHEN h.s IS NOT NULL THEN j.state || '|' || j.name END) AS with_case,
@@ -312,12 +312,12 @@ def addenda_texts(t):
 @query(
     "PL-15 SET-03 STR-12 FLT-03 DT-01",
     """
-    SELECT DISTINCT upper(replace(c_name, 'Customer#', 'ENTITY ')) AS entity FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_acctbal > 0
+    SELECT DISTINCT upper(replace(c_name, 'Customer#', 'ENTITY ')) AS entity FROM customer JOIN orders ON o_custkey = c_custkey
     INTERSECT SELECT upper(replace(s_name, 'Supplier#', 'ENTITY ')) FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_returnflag = 'R'
     """,
 )
 def debarment_overlap(t):
-    first = t.customer.where("c_acctbal > 0").join(t.orders, F.col("c_custkey") == F.col("o_custkey")).select(
+    first = t.customer.join(t.orders, F.col("c_custkey") == F.col("o_custkey")).select(
         F.replace("c_name", F.lit("Customer#"), F.lit("En-tity\n")).alias("Entity"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("Start")
     )
     second = t.supplier.join(t.lineitem.where("l_returnflag = 'R'"), F.col("s_suppkey") == F.col("l_suppkey")).select(
@@ -333,14 +333,14 @@ def debarment_overlap(t):
 @query(
     "PL-16 JN-11 AG-05 AG-17 DT-03",
     """
-    WITH d AS (SELECT 'orders' AS source, o_orderdate AS d, o_custkey::VARCHAR AS id FROM orders UNION ALL SELECT 'returns', l_shipdate, l_suppkey::VARCHAR FROM lineitem WHERE l_returnflag = 'R' AND l_quantity = 50),
+    WITH d AS (SELECT 'orders' AS source, o_orderdate AS d, o_custkey::VARCHAR AS id FROM orders UNION ALL SELECT 'returns', l_shipdate, l_suppkey::VARCHAR FROM lineitem WHERE l_returnflag = 'R'),
     m AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(d)) FROM d), (SELECT date_trunc('month', max(d)) FROM d), INTERVAL 1 MONTH))::DATE AS month)
     SELECT month, s.source, (SELECT count(DISTINCT id) FROM d WHERE d.source = s.source AND date_trunc('month', d.d)::DATE = month) AS n FROM m, (VALUES ('orders'), ('returns')) s(source)
     """,
     days="month",
 )
 def monthly_sources(t):
-    returns = t.lineitem.where("l_returnflag = 'R' AND l_quantity = 50")
+    returns = t.lineitem.where("l_returnflag = 'R'")
     return profiles.monthly_sources({"orders": (t.orders, "o_orderdate", "o_custkey"), "returns": (returns, "l_shipdate", "l_suppkey")})
 
 
