@@ -174,7 +174,8 @@ def estimate(
     ``train`` and ``test`` have ``features`` and ``label``. Result: predictions,
     evals, confusion and, when feature names are given, importances.
     """
-    train, test = train.cache(), test.cache()
+    # kept while the estimators read them, unless the caller keeps them anyway
+    lent = [df.persist() for df in (train, test) if not df.is_cached]
     fitted = {name: estimator.fit(train) for name, estimator in models.items()}
     predicted = reduce(
         DataFrame.unionByName, [predictions(m, name, test, keep) for name, m in fitted.items()]
@@ -190,6 +191,8 @@ def estimate(
         out["importances"] = reduce(
             DataFrame.unionByName, [importances(m, n, features, test) for n, m in fitted.items()]
         )
+    for df in lent:
+        df.unpersist()
     return out
 
 
