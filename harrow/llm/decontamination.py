@@ -16,7 +16,7 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Item windows that are broadcast at most, about 200 bytes each; more are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: What a document's extra row is joined by; a shingle of this hash is told apart by its place.
+#: The hash of a document's extra row; a shingle of this hash is told apart by its place.
 MARK = 1
 
 
@@ -63,16 +63,16 @@ def find_benchmark(
     where they touch; ``n_hit`` counts the words inside; ``items`` are the sorted ids of
     items with an occurring window.
 
-    1. The shingles of every window are counted over all documents. A window with a
-       shingle that occurs nowhere cannot occur.
+    1. The places of the windows' shingles in all documents are found in one pass, kept
+       and counted. A window with a shingle that occurs nowhere cannot occur.
     2. Ordered by rarity, a window that is held whole must share its first shingle, so
-       documents are joined on that one only.
+       only the places of that one go on.
     3. The shingle's place in the window gives the place in the document; it must leave
-       room for the window on both sides. The words there are then compared one by one.
+       room for the window on both sides. The words there are then compared one by one;
+       only texts with such a place are read again.
 
-    Windows up to ``broadcast_rows`` are broadcast and compared where the document's words
-    are. More are joined by shuffles, which the adaptive planner splits where a shingle
-    is crowded, and compared after a join with the documents.
+    Windows up to ``broadcast_rows`` are broadcast. More are joined by shuffles, which the
+    adaptive planner splits where a shingle is crowded.
 
     Null texts have no words. Null ids and repeated rows keep their rows. An empty
     benchmark or one without words gives no hits; an empty table no rows. Other columns
@@ -97,18 +97,6 @@ def find_benchmark(
     own = F.coalesce(*[F.when(long == n, shingle_hashes(F.col("words"), n)) for n in lengths], F.array().cast("array<bigint>"))
     tokens = windows.select("window", F.posexplode(own).alias("offset", "hash"))
     wanted = tokens.select("hash").distinct()
-    seen = shingled.select(F.explode(hashes).alias("hash")).join(small(wanted), "hash").groupBy("hash").agg(F.count("*").alias("seen"))
-    rarest = (
-        tokens.join(seen, "hash", "left")
-        .groupBy("window")
-        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "hash", "offset")).alias("first"))
-        .where(F.col("first.seen") > 0)
-    )
-    keys = rarest.join(windows, "window").select(
-        F.col("first.hash").alias("hash"), F.col("first.offset").alias("offset"), "window",
-        F.col("words").alias("wanted"), F.size("words").alias("n"), long.alias("length"),
-    )
-    keys = cut_lineage(keys)
 
     # a hash's place counts on through the lengths, one stretch of places for each
     size = F.size("words")
@@ -116,34 +104,46 @@ def find_benchmark(
     before = F.lit(0)
     length = F.lit(None).cast("int")
     for n in lengths:
-        count = F.greatest(size - n + 1, F.lit(0))
+        count = F.greatest(F.col("size") - n + 1, F.lit(0))
         inside = (place >= before) & (place < before + count)
         here = F.coalesce(here, F.when(inside, place - before))
         length = F.coalesce(length, F.when(inside, F.lit(n)))
         before = before + count
-    same = lambda words, start: F.slice(words, start + 1, F.col("n")) == F.col("wanted")
     if few:
-        # one row more for each document, which meets the key without a window and brings the number of words
-        mark = keys.sparkSession.range(1).select(F.lit(MARK).alias("hash"), *[F.lit(None).cast(keys.schema[c].dataType).alias(c) for c in keys.columns[1:]])
-        marked = F.concat(F.array(F.lit(MARK)), hashes)
-        met = shingled.select("id", "print", "words", F.posexplode(marked).alias("place", "hash")).withColumn("place", F.col("place") - 1)
-        met = met.join(small(keys.unionByName(mark)), "hash")
-        start = here - F.col("offset")
-        inside = (length == F.col("length")) & (start >= 0) & (start + F.col("n") <= size) & same(F.col("words"), start)
-        met = met.where(F.when(place < 0, F.col("window").isNull()).otherwise(F.col("window").isNotNull() & inside))
-        met = cut_lineage(met.select("id", "print", F.when(place >= 0, start).alias("start"), "n", "window", F.when(place < 0, size).alias("n_words")))
-        counted = met.where(F.col("n_words").isNotNull()).select("id", "print", F.col("n_words").cast("long").alias("n_words"))
-        found = met.where(F.col("n_words").isNull()).drop("n_words").distinct()
+        # one row more for each document, which brings the number of words
+        mark = wanted.sparkSession.range(1).select(F.lit(MARK).cast("long").alias("hash"))
+        places = shingled.select("id", "print", size.alias("size"), F.posexplode(F.concat(F.array(F.lit(MARK).cast("long")), hashes)).alias("place", "hash"))
+        places = places.withColumn("place", place - 1).join(small(wanted.union(mark).distinct()), "hash")
+        met = cut_lineage(places)
+        counted = met.where(place < 0).select("id", "print", F.col("size").cast("long").alias("n_words"))
+        hits = met.where(place >= 0)
     else:
-        places = shingled.select("id", "print", "words", F.posexplode(hashes).alias("place", "hash"))
-        places = places.select("id", "print", "hash", size.alias("size"), here.alias("here"), length.alias("own"))
-        met = places.join(keys, "hash").where(F.col("own") == F.col("length")).withColumn("start", F.col("here") - F.col("offset"))
-        met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size"))).select("id", "print", "start", "n", "wanted", "window")
-        whole = shingled.select(F.col("id").alias("id0"), F.col("print").alias("print0"), "words").dropDuplicates(["id0", "print0"])
-        found = met.join(whole, (F.col("print") == F.col("print0")) & F.col("id").eqNullSafe(F.col("id0"))).where(same(F.col("words"), F.col("start")))
-        found = cut_lineage(found.select("id", "print", "start", "n", "window").distinct())
+        places = shingled.select("id", "print", size.alias("size"), F.posexplode(hashes).alias("place", "hash"))
+        hits = cut_lineage(places.join(wanted, "hash"))
         counted = base.select("id", "print", F.regexp_count("text", F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"))
 
+    seen = hits.groupBy("hash").agg(F.count("*").alias("seen"))
+    rarest = (
+        tokens.join(seen, "hash", "left")
+        .groupBy("window")
+        .agg(F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "hash", "offset")).alias("first"))
+        .where(F.col("first.seen") > 0)
+    )
+    keys = rarest.join(windows, "window").select(
+        F.col("first.hash").alias("hash"), F.col("first.offset").alias("offset"), "window", F.size("words").alias("n"), long.alias("length")
+    )
+    met = hits.join(small(cut_lineage(keys)), "hash").where(length == F.col("length")).withColumn("start", here - F.col("offset"))
+    met = met.where((F.col("start") >= 0) & (F.col("start") + F.col("n") <= F.col("size")))
+    met = cut_lineage(met.select("id", "print", "start", "n", "window").distinct())
+    # only texts that hold such a shingle are read again
+    prints = met.select(F.col("print").alias("print0")).distinct()
+    narrow = F.broadcast if prints.count() <= broadcast_rows else (lambda df: df)
+    whole = base.withColumnsRenamed({"id": "id0", "print": "print0"}).join(narrow(prints), "print0", "left_semi").dropDuplicates(["id0", "print0"])
+    whole = whole.select("id0", "print0", words_of(F.col("text")).alias("words"))
+    found = met.join(whole, (F.col("print") == F.col("print0")) & F.col("id").eqNullSafe(F.col("id0")))
+    found = found.join(small(windows.select("window", F.col("words").alias("wanted"))), "window")
+    found = cut_lineage(found.where(F.slice("words", F.col("start") + 1, F.col("n")) == F.col("wanted")).select("id", "print", "start", "n", "window"))
+
     widest = found.groupBy("id", "print", "start").agg(F.max("n").alias("n"))
     # a document has at most as many starts as words
     listed = widest.groupBy("id", "print").agg(F.array_sort(F.collect_list(F.struct("start", (F.col("start") + F.col("n")).alias("end")))).alias("spans"))

@@ -79,3 +79,34 @@ def test_clean_rows_stay(spark, wide):
     assert kept.columns == wide.columns
     dirty = {(r[0], r[1]) for r, e in ((r, brute_force([r[:2]], benchmark_rows())[0]) for r in document_rows()) if e[2]}
     assert records(kept, "doc_id", "text") == sorted(((r[0], r[1]) for r in document_rows() if (r[0], r[1]) not in dirty), key=repr)
+
+
+def test_words_of_all_texts_are_found_once(spark, wide, monkeypatch):
+    plans = []
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(df)
+
+    cut_lineage = decontamination.cut_lineage
+    monkeypatch.setattr(decontamination, "cut_lineage", noted)
+    items = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven")], "item_id long, text string")
+    found = decontamination.find_benchmark(wide, items)
+    plans.append(found._jdf.queryExecution().optimizedPlan().toString())
+    # texts that are read again are those of a join
+    assert sum("regexp_extract_all" in p and "doc_id" in p and "LeftSemi" not in p for p in plans) == 1
+
+
+def test_query_agrees_with_sql_on_benchmark(spark):
+    import duckdb
+
+    from harrow.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    connection = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        connection.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    right = connection.execute(queries.SQL["op11_benchmark_passages"])
+    columns = [d[0] for d in right.description]
+    found = queries.QUERIES["op11_benchmark_passages"](spark, folder).select(*columns)
+    assert sorted(repr(tuple(r)) for r in found.collect()) == sorted(map(repr, right.fetchall()))
