@@ -110,6 +110,18 @@ def merged(piece: bytes, find) -> list[int]:
     return out
 
 
+class Remembered(dict):
+    """Ids of pre-tokens; those not met before are looked up."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self[piece] = self.find(piece)
+        return ids
+
+
 class Encoder:
     """Encodes and decodes with a table of ``perfect_hash``; pre-tokens met before are remembered in the table."""
 
@@ -117,13 +129,17 @@ class Encoder:
         self.find = finder(table)
         self.split = regex.compile(pattern)
         self.remembered: dict[str, bytes] = table["remembered"]
+        if not isinstance(self.remembered, Remembered):
+            self.remembered = table["remembered"] = Remembered(self.piece)
         self.parts: dict[bytes, int] = table["parts"]
         self.by_rank: list[bytes] = table["by_rank"]
 
     def piece(self, piece: str) -> bytes:
         data = piece.encode()
         rank = self.find(data)
-        ids = [rank] if rank >= 0 else merged(data, self.part)
+        if rank >= 0:
+            return rank.to_bytes(4, "little")
+        ids = merged(data, self.part)
         if min(ids) < 0:
             raise ValueError("the vocabulary lacks a byte of the text")
         return np.array(ids, "<u4").tobytes()
@@ -141,9 +157,6 @@ class Encoder:
         known = self.remembered
         if len(known) > REMEMBERED:
             known.clear()
-        for p in pieces:
-            if p not in known:
-                known[p] = self.piece(p)
         return b"".join(map(known.__getitem__, pieces))
 
     def encode(self, text: str | None) -> bytes:
@@ -166,9 +179,12 @@ def vocabulary(docs: DataFrame, path: str):
     return docs.sparkSession.sparkContext.broadcast(perfect_hash(read_ranks(path)))
 
 
-def encode_documents(docs: DataFrame, table, pattern: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def encode_documents(docs: DataFrame, table, pattern: str, id_column: str = "doc_id", text_column: str = "text", decoded: str | None = None) -> DataFrame:
     """(id, n_tokens, ids): the ids of each text as little-endian unsigned 32-bit integers.
 
+    With ``decoded``, a column of that name has the bytes that the ids stand for, as of
+    ``with_decoded``, without a second pass through Python.
+
     ``table`` comes from ``vocabulary``; each match of ``pattern`` is encoded by itself;
     there are no special tokens. A null text is empty and has no ids. Null ids and
     repeated rows are rows like others. An empty table gives no rows. Other columns are
@@ -178,18 +194,23 @@ def encode_documents(docs: DataFrame, table, pattern: str, id_column: str = "doc
         encoder = Encoder(table.value, pattern)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            start, out, size = 0, [], 0
+            start, out, back, size = 0, [], [], 0
             for i in range(batch.num_rows):
                 out.append(encoder.encode(texts[i].as_py()))
                 size += len(out[-1])
+                if decoded:
+                    back.append(encoder.decode(out[-1]))
+                    size += len(back[-1])
                 if size > 1 << 23 or i == batch.num_rows - 1:
                     counts = pa.array([len(x) // 4 for x in out], pa.int64())
-                    yield pa.RecordBatch.from_arrays([keys.slice(start, len(out)), counts, pa.array(out, pa.binary())], ["id", "n_tokens", "ids"])
-                    start, out, size = i + 1, [], 0
+                    columns = {"id": keys.slice(start, len(out)), "n_tokens": counts, "ids": pa.array(out, pa.binary())}
+                    yield pa.RecordBatch.from_pydict(columns | ({decoded: pa.array(back, pa.binary())} if decoded else {}))
+                    start, out, back, size = i + 1, [], [], 0
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids binary").withColumnRenamed("id", id_column)
+    told = f"id {kind}, n_tokens long, ids binary" + (f", `{decoded}` binary" if decoded else "")
+    return rows.mapInArrow(run, told).withColumnRenamed("id", id_column)
 
 
 def with_decoded(encoded: DataFrame, table, pattern: str, ids_column: str = "ids", out: str = "decoded") -> DataFrame:

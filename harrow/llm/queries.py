@@ -183,8 +183,7 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
 def op7_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     words = bpe.vocabulary(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    encoded = bpe.encode_documents(docs, words, public_tokenizers.PATTERN)
-    both = bpe.with_decoded(encoded, words, public_tokenizers.PATTERN)
+    both = bpe.encode_documents(docs, words, public_tokenizers.PATTERN, decoded="decoded")
     return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -64,3 +64,14 @@ def test_documents(spark, wide, nothing, reference):
     got = sorted(((r["doc_id"], r["n_tokens"], sha256(r["ids"]).hexdigest(), bytes(r["decoded"])) for r in found.collect()), key=repr)
     assert got == sorted(expected, key=repr)
     assert records(bpe.encode_documents(nothing, words, public_tokenizers.PATTERN), "n_tokens") == []
+
+
+def test_ids_are_decoded_in_the_pass_that_makes_them(spark, wide):
+    from harrow.llm import queries
+
+    plan = queries.QUERIES["op7_byte_bpe"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
+    words = bpe.vocabulary(wide, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    one = bpe.encode_documents(wide, words, public_tokenizers.PATTERN, decoded="back").collect()
+    two = bpe.with_decoded(bpe.encode_documents(wide, words, public_tokenizers.PATTERN), words, public_tokenizers.PATTERN, out="back").collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two)) and any(r["back"] for r in one)
