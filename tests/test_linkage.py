@@ -1,5 +1,6 @@
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,28 @@ def test_close_pairs_are_all_pairs_above_the_cut(longest):
         assert all(abs(got[k] - want[k]) < 1e-12 for k in want)
 
 
+def long_titles(n, seed):
+    """Titles of frequent syllables, as pages have them: long, of few letters and alike by chance."""
+    rng = random.Random(seed)
+    return list(dict.fromkeys(" ".join("".join(rng.choice(SYLLABLES) for _ in range(rng.randint(1, 3))) for _ in range(12))[:60] for _ in range(n)))
+
+
+SYLLABLES = "THE AN ION ER ST HA OU ED RE ING ND TI".split()
+
+
+@pytest.mark.parametrize("cut", [0.7, 0.8, 0.88])
+def test_close_pairs_of_alike_titles(cut):
+    left, right = long_titles(60, 1), long_titles(700, 2) + ["THE", "A", "T" * 64, "X" * 65]
+    left += [s[:-2] + "XY" for s in right[:9]] + ["T" * 63, "\u2603" * 5]
+    want = {(i, j) for i, x in enumerate(left) for j, y in enumerate(right) if jw(x, y) >= cut}
+    got = candidates.close_pairs(left, right, cut)
+    assert set(zip(got[0].tolist(), got[1].tolist())) == want and len(got[0]) == len(want)
+    for parts in (candidates.close_parts(left, right, cut), candidates._in_pieces(candidates.close_parts(left, right, cut))):
+        assert sum(len(p[0]) for p in parts) == len(want)
+    within = {(i, j) for parts in candidates.close_within(right, cut) for i, j in zip(parts[0].tolist(), parts[1].tolist())}
+    assert within == {(i, j) for i, x in enumerate(right) for j, y in enumerate(right) if i < j and jw(x, y) >= cut}
+
+
 def test_similarity_column_nulls_and_equality(spark):
     df = spark.createDataFrame([("AB", "AB"), (None, "A"), ("A", None), ("AB", "XY")], "a string, b string")
     assert one(df.select(jaro_winkler(F.col("a"), F.col("b")))) == [1.0, None, None, 0.0]
@@ -109,6 +132,39 @@ def test_large_blocks_give_the_same_pairs_by_keys(spark, cut, tile):
     assert rows(mixed.withColumn("similarity", F.round("similarity", 9)), *one_way.columns) == want
 
 
+def test_large_blocks_go_by_keys_only_if_few_values_meet(spark, monkeypatch):
+    monkeypatch.setattr(candidates, "TRIED", 100)
+    ways = []
+    by_keys = candidates._keyed_pairs
+    monkeypatch.setattr(candidates, "_keyed_pairs", lambda *a: ways.append(a[0].count()) or by_keys(*a))
+    rng = random.Random(6)
+    short = ["".join(chr(0x4E00 + rng.randrange(300)) for _ in range(14)) for _ in range(500)]
+    data = [("long", v) for v in long_titles(400, 3)] + [("short", v) for v in dict.fromkeys(short + [s[:-1] for s in short[:30]])]
+    df = spark.createDataFrame(data, "state string, name string")
+    want = rows(candidates.similar_values(df, None, ["state"], "name", 0.94, tile=1000).drop("similarity"))
+    assert rows(candidates.similar_values(df, None, ["state"], "name", 0.94, tile=32, dealt=4).drop("similarity")) == want and len(want) > 20
+    assert ways == [530]
+
+
+def test_keys_leave_a_task_in_small_batches(spark):
+    df = spark.createDataFrame([(v,) for v in long_titles(900, 4)], "_value string")
+    sizes = []
+
+    class Rows:
+        """Stands in for a table of one batch."""
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            batch = pa.RecordBatch.from_pydict({"_value": [r[0] for r in df.collect()]})
+            sizes.extend(b.num_rows for b in run([batch]))
+            return df
+
+    candidates._key_maker(df, [], 0.8)(Rows(), True)
+    assert max(sizes) < 2 * candidates.PART and sum(sizes) > 4 * candidates.PART
+
+
 def test_two_large_tables_without_block(spark):
     x, y = odd_words(80, 6, "abcd") + names(60, 6), odd_words(80, 7, "abcd") + names(60, 7)
     a, b = (spark.createDataFrame([(n,) for n in v], "name string") for v in (x, y))
