@@ -191,6 +191,31 @@ def test_spanning_pairs_give_the_same_groups(spark):
     assert groups[0] == groups[1]
 
 
+def test_linked_values_are_not_compared_again(spark, monkeypatch):
+    """Values that small tiles link go into one group; then only others are compared."""
+    groups = [long_titles(900, 5), ["QQQQ", "QQQQQ", "VVVVVV", "VVVVVW", "WWWW"]]
+    df = spark.createDataFrame([("en", v) for v in groups[0] + groups[1]] + [("de", v) for v in groups[0][:40]], "state string, name string")
+    full = candidates.similar_values(df, None, ["state"], "name", 0.75, tile=1000)
+    settled = []
+    tiles = candidates._tile_pairs
+
+    def seen(a, *args, **options):
+        if "_largest" in a.columns:
+            settled.append((a.count(), a.where("_largest").count()))
+        return tiles(a, *args, **options)
+
+    monkeypatch.setattr(candidates, "_tile_pairs", seen)
+    few = candidates.similar_values(df, None, ["state"], "name", 0.75, tile=60, spanning=True)
+
+    def grouped(pairs):
+        nodes = df.select(F.concat_ws(" ", "state", "name").alias("node"))
+        return rows(linkage.connected_groups(nodes, pairs.select(F.concat_ws(" ", "state", "left_value").alias("a"), F.concat_ws(" ", "state", "right_value").alias("b"))))
+
+    assert grouped(few) == grouped(full)
+    assert settled and settled[0][1] > 0.9 * settled[0][0]
+    assert few.count() < full.count() / 4
+
+
 def test_two_tables_without_block(spark):
     a = spark.createDataFrame([(n,) for n in names(60, 6)], "name string")
     b = spark.createDataFrame([(n,) for n in names(60, 7)], "name string")
