@@ -2,7 +2,9 @@
 
 No side carries a broadcast hint: the adaptive planner broadcasts a side when
 its measured size is under the session's threshold and splits skewed
-partitions of a sort-merge join otherwise.
+partitions of a sort-merge join otherwise. It goes by the size of what is read,
+so a join that makes far more rows than it reads is dealt out here
+(``join_many``).
 """
 
 from __future__ import annotations
@@ -14,6 +16,39 @@ from pyspark.sql import functions as F
 
 from harrow.operators.aggregates import distinct_counts
 
+#: Rows that a part of a key makes in ``join_many``.
+MADE_ROWS = 1 << 20
+
+
+def join_many(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", made_rows: int = MADE_ROWS) -> DataFrame:
+    """``left.join(right, on, how)``, left or inner, for keys with many rows on both sides.
+
+    Rows are counted first. The left rows of a key that makes more than ``made_rows`` rows are
+    dealt into as many parts, each of which meets all right rows of the key. What the
+    join makes is never shuffled.
+    """
+    on = list(on)
+    sizes = left.groupBy(*on).agg(F.count("*").cast("double").alias("_n")).join(right.groupBy(*on).agg(F.count("*").alias("_m")), on)
+    parts = sizes.select(*on, F.ceil(F.col("_n") * F.col("_m") / F.lit(float(made_rows))).cast("int").alias("_parts")).where("_parts > 1")
+    total = parts.agg(F.sum(F.col("_parts").cast("double"))).first()[0]
+    if not total:
+        return left.join(right, on, how)
+    spark = left.sparkSession
+    most = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * spark.sparkContext.defaultParallelism)
+    slots = max(2, int(min(total, most)))
+    no_key = F.lit(False)
+    for c in on:
+        no_key = no_key | F.col(c).isNull()
+    # rows without a key meet nothing and may stand anywhere
+    many = F.when(no_key, F.lit(slots)).otherwise(F.coalesce("_parts", F.lit(1)))
+    hashed = [c for c, kind in left.dtypes if "map<" not in kind]
+    dealt = left.join(parts, on, "left").select(*left.columns, F.pmod(F.xxhash64(*hashed), many).cast("int").alias("_part"))
+    repeated = right.join(parts, on, "left").select(
+        *right.columns, F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)).alias("_part")
+    )
+    keys = [*on, "_part"]
+    return dealt.repartition(slots, *keys).join(repeated.repartition(slots, *keys), keys, how).drop("_part")
+
 
 def suffix_overlap(
     left: DataFrame, right: DataFrame, on: Sequence[str], suffixes: tuple[str, str]
@@ -30,7 +65,7 @@ def join_with_suffixes(
     left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left", suffixes=("_x", "_y")
 ) -> DataFrame:
     a, b = suffix_overlap(left, right, on, suffixes)
-    return a.join(b, list(on), how)
+    return join_many(a, b, on, how) if how in ("left", "inner") else a.join(b, list(on), how)
 
 
 def join_with_indicator(

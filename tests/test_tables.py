@@ -290,3 +290,24 @@ def test_checkpoint_folder_needs_setting_on_cluster():
 
     with pytest.raises(RuntimeError):
         session.checkpoint_folder(Spark())
+
+
+@pytest.mark.parametrize("how", ["left", "inner"])
+def test_a_join_that_makes_many_rows_is_dealt_out(spark, how):
+    left = spark.createDataFrame([("hot", i) for i in range(300)] + [("warm", i) for i in range(5)] + [("none", 1), ("none", 1), (None, 2)], "k string, a int")
+    right = spark.createDataFrame([("hot", i) for i in range(40)] + [("warm", 7), ("warm", 7), ("other", 1), (None, 3)], "k string, b int")
+    got = joins.join_many(left, right, ["k"], how, made_rows=500)
+    plain = left.join(right, ["k"], how)
+    assert got.columns == plain.columns and rows(got) == rows(plain)
+    assert rows(joins.join_many(left, right, ["k"], how)) == rows(plain)
+    # the rows of one key are made in many tasks
+    assert got.where("k = 'hot'").groupBy(F.spark_partition_id()).count().count() > 5
+
+
+def test_side_suffixes_of_a_hot_key_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(joins.join_many, "__defaults__", ("left", 500))
+    left = spark.createDataFrame([(1, i) for i in range(200)], "k int, bal int")
+    right = spark.createDataFrame([(1, i) for i in range(50)], "k int, bal int")
+    got = joins.join_with_suffixes(left, right, ["k"], "left", ("_l", "_r"))
+    assert got.columns == ["k", "bal_l", "bal_r"] and got.count() == 10_000
+    assert got.groupBy(F.spark_partition_id()).count().count() > 5
