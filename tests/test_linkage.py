@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harrow.functions.similarity import jaro_winkler, jaro_winkler_pairs
-from harrow.operators import candidates, linkage, prefix_keys
+from harrow.operators import candidates, joins, linkage, prefix_keys
 from tests.helpers import one, rows
 
 
@@ -348,6 +348,20 @@ def test_re_expansion_arithmetic(spark, removed, cases, want):
     assert {r["is_matched"] for r in got.collect()} == {cases > 0}
 
 
+def test_re_expansion_does_not_shuffle_the_pairs(spark, monkeypatch):
+    monkeypatch.setattr(joins.join_many, "__defaults__", ("left", 500))
+    jobs = spark.createDataFrame([(i, f"j{i % 3}") for i in range(60)] + [(99, None)], "job_row int, job_group string")
+    cases = spark.createDataFrame([(i, "c" if i else "d") for i in range(300)], "case_row int, case_group string")
+    links = spark.createDataFrame([("j0", "c"), ("j0", "d"), ("j1", "no cases"), (None, "c"), ("j2", None)], "job_group string, case_group string")
+    got = linkage.expand_matches(jobs, cases, links, "job_group", "case_group")
+    assert got.columns == ["job_group", "job_row", "case_group", "case_row", "is_matched"]
+    want = [("j0", j, "c" if c else "d", c, True) for j in range(0, 60, 3) for c in range(300)]
+    want += [(f"j{i % 3}", i, None, None, False) for i in range(60) if i % 3] + [(None, 99, None, None, False)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    # pairs are made where they stay: the rows of one job group lie in many tasks
+    assert got.where("job_group = 'j0'").groupBy(F.spark_partition_id()).count().count() > 5
+
+
 def test_blank_names_get_no_group(spark):
     df = spark.createDataFrame([(1, "TX", "GREEN FARM"), (2, "TX", "GREEN FARMS"), (3, "TX", None), (4, "GA", "GREEN FARM")], "i int, state string, name string")
     got = {r["i"]: r["group"] for r in linkage.dedupe_values(df, "name", ["state"]).collect()}
