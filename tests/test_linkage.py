@@ -309,6 +309,17 @@ def test_link_tables_one_to_one_and_keeps_left(spark):
     assert all(y - 1000 == x for x, y in links) and len(links) >= 36
 
 
+def test_similar_values_of_a_field_are_found_once(spark, monkeypatch):
+    """The steps of a linkage read the same similar values; missing names and cities do not change that."""
+    found = []
+    plain = linkage.similar_values
+    monkeypatch.setattr(linkage, "similar_values", lambda *a, **k: found.append(a[3]) or plain(*a, **k))
+    named = [(i, "TX", n if i % 7 else None, n[::-1] if i % 5 else None) for i, n in enumerate(names(60, 8, 12, "ABCDEFGHIJ"))]
+    df = spark.createDataFrame(named + [(100 + i, "TX", n, c) for i, _, n, c in named], "l int, state string, name string, city string")
+    linkage.linked_combinations(df, None, ["state"], ["name", "city"]).count()
+    assert sorted(found) == ["city", "name"]
+
+
 def test_nothing_in_common_links_nothing(spark):
     a = spark.createDataFrame([(1, "TX", "ABCDEF", "QQQQ"), (2, "TX", "GHIJKL", "RRRR")], "l int, state string, name string, city string")
     b = spark.createDataFrame([(1, "TX", "MNOPZZ", "SSSS"), (2, "TX", "UUVVWW", "TTTT")], "r int, state string, name string, city string")
